@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import lines, mixing, packing, shards
+from . import ann, lines, mixing, packing, quality, secrets, shards
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,9 +30,30 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
 def op8_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.byte_shards(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_best_fit_packing, op5_source_mixing, op8_byte_shards)}
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    table_ = secrets.train(secrets.labelled_samples(spark, docs))
+    return secrets.digest(secrets.find_secrets(docs, table_))
+
+
+def remainder(k: int) -> Column:
+    """crc32 of doc_id as text, modulo k."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % k
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), remainder(5) != 0)
+    return quality.score(docs, model).select("doc_id", (remainder(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_best_fit_packing, op5_source_mixing, op7_nearest_neighbours, op8_byte_shards, op9_secret_scan, op10_quality)}
 ORACLES = {"op1_line_dedup": lines.SQL}
