@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, lines, mixing, packing, quality, search, secrets, shards
+from . import ann, lines, maxent, mixing, packing, quality, search, secrets, shards
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,13 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op6_maxent_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model, vocabulary = maxent.fit(docs, remainder(10) != 0)
+    scored = maxent.score(docs, model, vocabulary)
+    return scored.select("doc_id", (remainder(10) == 0).alias("held_out"), "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
 
@@ -60,5 +67,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select("doc_id", (remainder(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_best_fit_packing, op4_bm25_search, op5_source_mixing, op7_nearest_neighbours, op8_byte_shards, op9_secret_scan, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_best_fit_packing, op4_bm25_search, op5_source_mixing, op6_maxent_scores, op7_nearest_neighbours, op8_byte_shards, op9_secret_scan, op10_quality)}
 ORACLES = {"op1_line_dedup": lines.SQL, "op4_bm25_search": search.SQL}
