@@ -113,7 +113,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         least = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(least, "hi").select(F.explode(F.array(F.struct(F.col("m").alias("lo"), F.col("lo").alias("hi")), F.struct(F.col("m").alias("lo"), F.col("hi")))).alias("e")).select("e.*")
         new = stage(small.where("lo <> hi").distinct(), f"cc{k}")
-        now = new.agg(F.count("*"), F.sum("lo"), F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)"))).first()
+        now = new.agg(F.count("*"), F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)"))).first()
         unstage(edges)
         edges = new
         if before == now:
