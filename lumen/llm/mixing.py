@@ -64,7 +64,8 @@ def mix_sources(docs: DataFrame, weights=(1, 2, 3), id_col: str = "doc_id", text
     Null text has size 0 and takes 0; a null source is a source of its own, last in order. Repeated ids are separate
     rows. Sources without words have target 0. An empty table gives an empty result. Other columns play no part.
 
-    Returns id, size, source, source_size, target, taken.
+    Returns id, size, source, source_size, target, taken, and copies: how often the block with the document's middle
+    word is taken, for mixes of whole documents.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("src"), F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
@@ -112,8 +113,20 @@ def mix_sources(docs: DataFrame, weights=(1, 2, 3), id_col: str = "doc_id", text
         frame = frame.select(*[F.col(c).alias(f"{name}_{c}") for c in frame.columns])
         out = out.join(frame, F.expr(" AND ".join(f"{c} <=> {name}_{c}" for c in ["src", *extra])))
     out = out.withColumns({"z": F.col("o_start") + F.col("end"), "a": F.col("o_start") + F.col("end") - F.col("size")})
-    for name in ("a", "z"):
+    out = out.withColumn("m", F.expr("a + size div 2"))
+    for name in ("a", "z", "m"):
         frame = picked.select(*[F.col(c).alias(f"{name}_{c}") for c in ("src", "block", "base", "times")])
         out = out.join(F.broadcast(frame), F.expr(f"src <=> {name}_src AND {name} div {block}L = {name}_block"))
         out = out.withColumn(f"{name}_words", F.expr(f"{name}_base + ({name} - {name}_block * {block}L) * {name}_times"))
-    return out.select(F.col("id").alias(id_col), "size", F.col("src").alias(source_col), F.col("t_source_size").alias("source_size"), F.col("t_target").alias("target"), (F.col("z_words") - F.col("a_words")).alias("taken"))
+    return out.select(F.col("id").alias(id_col), "size", F.col("src").alias(source_col), F.col("t_source_size").alias("source_size"), F.col("t_target").alias("target"), (F.col("z_words") - F.col("a_words")).alias("taken"), F.col("m_times").cast("int").alias("copies"))
+
+
+def mixed(docs: DataFrame, weights=(1, 2, 3), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **also) -> DataFrame:
+    """docs as the mix takes them: whole rows, each as often as the block that holds its middle word is taken.
+
+    Rows that share an id share the largest number of copies; the columns are those of docs.
+    """
+    found = mix_sources(docs, weights, id_col, text_col, source_col, **also)
+    found = found.groupBy(F.col(id_col).alias("__id")).agg(F.max("copies").alias("__copies")).where("__copies > 0")
+    out = docs.join(found, docs[id_col].eqNullSafe(found["__id"]))
+    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), "__copies"))).drop("__id", "__copies", "__copy")
