@@ -179,6 +179,9 @@ def fold(texts: pd.Series) -> pd.DataFrame:
     word, run = re.compile(rf"(?<!\w)(?:\w{mark}){{3,}}\w(?!\w)"), re.compile(r"(?<!\w)\w(?:[\s.\-_·*]{1,3}\w(?!\w)){7,}")
     rows = []
     for text in texts:
+        if text is None:
+            rows.append((None, None))
+            continue
         text = unicodedata.normalize("NFKC", gone.sub("", text)).translate(plain)
         spelled = (p for r in run.findall(text) for p in rules.SQUASHED if p in re.sub(r"[\W_]", "", r).lower())
         rows.append((word.sub(lambda m: re.sub(mark, "", m.group()), text), next(spelled, None)))

@@ -61,20 +61,22 @@ def injections(texts: DataFrame) -> DataFrame:
     """Findings of prompt injection in (artifact_id, unit_seq, step, location, hidden, text).
 
     First the text without invisible characters; only where nothing matches there, the text with its disguises
-    folded. The second pass is another branch of the plan, so the Python function sees only rows that need it.
+    folded: the Python function gets null for all other rows. explode() of a one-element array makes a step's result a
+    plain column, so that the patterns are tried once and not again in every filter and projection above.
     """
-    direct = texts.withColumn("plain", F.when(F.col("text").rlike(r"[^\x00-\x7F]"), X.strip_invisible(F.col("text"))).otherwise(F.col("text")))
-    direct = direct.withColumn("hits", X.hits(F.col("plain")))
-    found = direct.where(F.size("hits") > 0).withColumn("obfuscated", F.lit(False)).drop("plain")
-    rest = direct.where((F.size("hits") == 0) & X.may_be_disguised(F.col("text"))).drop("plain", "hits").withColumn("read", X.fold("text"))
+    once = lambda df, name, value: df.select(*df.columns, F.explode(F.array(value)).alias(name))
+    text = F.col("text")
+    rows = once(texts, "direct", X.hits(F.when(text.rlike(r"[^\x00-\x7F]"), X.strip_invisible(text)).otherwise(text)))
+    rows = rows.withColumn("read", X.fold(F.when((F.size("direct") == 0) & X.may_be_disguised(text), text)))
     phrase = F.struct(F.lit("Letter-spaced instruction phrase").alias("what"), _said("'", F.col("read.phrase"), "' spelled out with spaces between letters").alias("around"))
-    rest = rest.withColumn("hits", F.concat(X.hits(F.col("read.folded")), F.when(F.col("read.phrase").isNotNull(), F.array(phrase)).otherwise(F.array().cast("array<struct<what:string,around:string>>"))))
-    rest = rest.where(F.size("hits") > 0).withColumn("obfuscated", F.lit(True)).drop("read")
-    found = found.unionByName(rest)
-    severity = F.when(F.col("hidden") | F.col("obfuscated") | (F.size("hits") >= 2), "HIGH").otherwise("MEDIUM")
+    none = F.array().cast("array<struct<what:string,around:string>>")
+    folded = F.concat(F.when(F.col("read.folded").isNotNull(), X.hits(F.col("read.folded"))).otherwise(none), F.when(F.col("read.phrase").isNotNull(), F.array(phrase)).otherwise(none))
+    rows = once(rows, "hits", F.when(F.size("direct") > 0, F.col("direct")).otherwise(folded)).where(F.size("hits") > 0)
+    obfuscated = F.size("direct") == 0
+    severity = F.when(F.col("hidden") | obfuscated | (F.size("hits") >= 2), "HIGH").otherwise("MEDIUM")
     what = F.array_join(F.array_distinct(F.col("hits.what")), "; ")
-    detail = _said(F.when(F.col("hidden"), "HIDDEN text ").otherwise("Text "), "matches prompt-injection patterns: ", what, F.when(F.col("obfuscated"), " - disguised by full-width, look-alike or spaced letters").otherwise(""))
-    return exploded(found, F.array(finding(F.col("step"), severity, "Possible AI prompt injection", F.col("location"), detail, F.col("hits")[0]["around"])))
+    detail = _said(F.when(F.col("hidden"), "HIDDEN text ").otherwise("Text "), "matches prompt-injection patterns: ", what, F.when(obfuscated, " - disguised by full-width, look-alike or spaced letters").otherwise(""))
+    return exploded(rows, F.array(finding(F.col("step"), severity, "Possible AI prompt injection", F.col("location"), detail, F.col("hits")[0]["around"])))
 
 
 def analyse(units: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ def session(master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings that the library relies on; on a cluster, spark-submit's own settings win."""
     b = SparkSession.builder.appName("lumen").config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true")
     if master:
-        b = b.master(master).config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "8").config("spark.driver.memory", os.environ.get("LUMEN_DRIVER_MEMORY", "8g")).config("spark.driver.host", "127.0.0.1")
+        b = b.master(master).config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.sql.shuffle.partitions", "8").config("spark.driver.memory", os.environ.get("LUMEN_DRIVER_MEMORY", "8g")).config("spark.driver.host", "127.0.0.1")
     for k, v in conf.items():
         b = b.config(k.replace("__", "."), v)
     spark = b.getOrCreate()
@@ -28,3 +28,17 @@ def importable(spark: SparkSession) -> None:
         return
     if here not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (here, env.get("PYTHONPATH", "")) if x)
+
+
+def checkpointed(df):
+    """df with its lineage cut in the shared checkpoint folder; one of our own only where none is set."""
+    spark = df.sparkSession
+    context = spark.sparkContext._jsc.sc()
+    if not context.getCheckpointDir().isDefined():
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if not path:
+            import tempfile
+
+            path = tempfile.mkdtemp(prefix="lumen-checkpoints-")
+        spark.sparkContext.setCheckpointDir(path)
+    return df.checkpoint()
