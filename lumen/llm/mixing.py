@@ -35,8 +35,10 @@ def targets(sizes: dict, weights: list[float], most: float = MOST) -> dict:
 def sainte_lague(votes: list[float], seats: int, most: list[int]) -> list[int]:
     """Seats by the highest quotients votes / (2 * seats so far + 1), never more than most; ties go to the earlier."""
     total = sum(votes)
-    # Each party's whole share less one is sure to be among the highest quotients; only the rest is dealt one by one.
-    got = [min(m, max(0, int(seats * v / total) - 1)) if total else 0 for v, m in zip(votes, most, strict=True)]
+    # Rounding adds at most half a seat a party, which bounds the divisor: so many seats are sure, the rest is dealt
+    # one by one.
+    sure = max(0.0, seats - len(votes) / 2) / total if total else 0.0
+    got = [min(m, max(0, int(v * sure - 0.5))) for v, m in zip(votes, most, strict=True)]
     heap = [(-v / (2 * g + 1), i) for i, (v, g, m) in enumerate(zip(votes, got, most, strict=True)) if v > 0 and g < m]
     heapq.heapify(heap)
     left = seats - sum(got)
