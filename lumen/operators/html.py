@@ -27,10 +27,10 @@ def host(href: Column) -> Column:
     return F.lower(F.regexp_extract(rest, r"^(?:.*@)?(\[[^\]]*\]|[^:]*)", 1))
 
 
-def findings(pages: DataFrame, at: str = "document", email: Column | bool = False, base: int = 0) -> DataFrame:
+def findings(pages: DataFrame, at: Column | str = "document", email: Column | bool = False, base: Column | int = 0) -> DataFrame:
     """Findings of pages, from read_html()."""
     mail = email if isinstance(email, Column) else F.lit(email)
-    loc = F.lit(at)
+    loc = at if isinstance(at, Column) else F.lit(at)
 
     def hidden(x: Column, k: Column) -> Column:
         pre = mail & (F.length(x["text"]) <= 160) & F.exists(x["reasons"], lambda r: r.rlike("display:none|mso-hide|max-height"))
@@ -66,10 +66,10 @@ def findings(pages: DataFrame, at: str = "document", email: Column | bool = Fals
         F.transform(deceptive, lambda x, k: finding(k + 510, "MEDIUM", "Deceptive link", loc, F.concat(F.lit("The link shows '"), x["shown"], F.lit("' but leads to '"), x["real"], F.lit("'.")), F.concat(F.lit("text: "), x["text"], F.lit("\nhref: "), x["href"]))),
         F.transform(dangerous, lambda x, k: finding(k + 750, "HIGH", "Dangerous link", loc, "The link uses a script, file or network-share scheme.", x["href"])),
     )
-    return exploded(pages.withColumn("unit_seq", F.lit(base).cast("long")), found)
+    return exploded(pages.withColumn("unit_seq", (base if isinstance(base, Column) else F.lit(base)).cast("long")), found)
 
 
-def text_units(pages: DataFrame, at: str = "document", base: int = 0) -> DataFrame:
+def text_units(pages: DataFrame, at: Column | str = "document", base: Column | int = 0) -> DataFrame:
     """Texts of pages for the text analyser: hidden ones first, the visible text last."""
     hidden = _joined(F.transform(F.filter("hidden", lambda x: x["text"].rlike(WORD_CHAR + "{2}")), lambda x: x["text"]))
     comments = _joined(F.col("comments"))
@@ -77,5 +77,6 @@ def text_units(pages: DataFrame, at: str = "document", base: int = 0) -> DataFra
     unit = lambda k, context, hid, text: F.struct(F.lit(k).alias("k") if isinstance(k, int) else k.alias("k"), F.lit(context).alias("context"), F.lit(hid).alias("hidden"), text.alias("text"))
     fixed = F.array(unit(1, "hidden HTML", True, hidden), unit(2, "HTML comment", True, comments), unit(3, "hidden input", True, _joined(F.col("inputs"))), unit(4, "meta tags", True, _joined(F.col("meta"))), unit(5000, "", False, F.col("visible")))
     alts = F.transform(F.filter("images", lambda i: i["alt"] != ""), lambda i, k: unit(k + 5, "image alt text", True, i["alt"]))
-    out = pages.select("artifact_id", F.explode(F.concat(fixed, alts)).alias("u")).where("u.text <> ''")
-    return out.select("artifact_id", (F.col("u.k") + base).cast("long").alias("unit_seq"), F.lit(at).alias("location"), "u.context", "u.hidden", "u.text")
+    col = lambda x: x if isinstance(x, Column) else F.lit(x)
+    out = pages.select("artifact_id", col(at).alias("location"), col(base).alias("base"), F.explode(F.concat(fixed, alts)).alias("u")).where("u.text <> ''")
+    return out.select("artifact_id", (F.col("u.k") + F.col("base")).cast("long").alias("unit_seq"), "location", "u.context", "u.hidden", "u.text")

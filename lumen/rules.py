@@ -92,3 +92,44 @@ CSS_COLOURS = {
     "grey": (128, 128, 128), "silver": (192, 192, 192), "whitesmoke": (245, 245, 245), "snow": (255, 250, 250), "ivory": (255, 255, 240), "ghostwhite": (248, 248, 255),
     "navy": (0, 0, 128), "orange": (255, 165, 0), "purple": (128, 0, 128), "linen": (250, 240, 230), "floralwhite": (255, 250, 240), "azure": (240, 255, 255), "mintcream": (245, 255, 250),
 }
+
+# Kinds of external relationships with severity, category and what they do.
+EXTERNAL = (
+    ("attachedTemplate", "HIGH", "Remote template", "The document loads a template from elsewhere."),
+    ("oleObject", "HIGH", "External OLE object", "A linked object is loaded from elsewhere."),
+    ("frame", "HIGH", "External frame", "A frame is loaded from elsewhere."),
+    ("subDocument", "HIGH", "External sub-document", "A sub-document is pulled in from elsewhere."),
+    ("aFChunk", "HIGH", "External content chunk", "Content is merged in from elsewhere."),
+    ("image", "MEDIUM", "Remote image", "An image is fetched when the document opens."),
+    ("externalLinkPath", "MEDIUM", "External workbook link", "The workbook links to cells of another file."),
+    ("xlExternalLinkPath/xlPathMissing", "MEDIUM", "External workbook link", "The workbook links to a missing file."),
+    ("audio", "MEDIUM", "Remote media", "Sound is loaded from elsewhere."),
+    ("video", "MEDIUM", "Remote media", "Video is loaded from elsewhere."),
+)
+
+# Field instructions of word processors.
+FIELDS = (
+    (r"(?i)\bDDE(AUTO)?\b", "HIGH", "A DDE field can start programs when the document opens."),
+    (r"(?i)\bINCLUDETEXT\b", "HIGH", "The field pulls text from another file."),
+    (r"(?i)\bINCLUDEPICTURE\b.*(https?://|\\\\)", "MEDIUM", "The field loads a remote image."),
+    (r"(?i)\bLINK\b\s+\S", "MEDIUM", "The field links to an outside object."),
+    (r"(?i)\bIMPORT\b", "MEDIUM", "The field pulls in an outside file."),
+    (r"\\\\[\w.-]+\\", "MEDIUM", "The field names a network share."),
+)
+
+# Keys of PDF objects that act, with severity and category.
+PDF_KEYS = (
+    ("/JavaScript", "HIGH", "JavaScript"), ("/JS", "HIGH", "JavaScript"), ("/Launch", "HIGH", "Launch action"), ("/RichMedia", "MEDIUM", "Rich media"), ("/XFA", "MEDIUM", "XFA form"), ("/SubmitForm", "MEDIUM", "Form submission"),
+    ("/ImportData", "MEDIUM", "Data import"), ("/GoToR", "LOW", "Remote go-to"), ("/GoToE", "MEDIUM", "Embedded go-to"), ("/AA", "LOW", "Additional actions"), ("/OpenAction", "LOW", "Open action"),
+)
+
+# Extensions of parts that run, in packages.
+RUNNING_PARTS = "exe dll scr js jse vbs vbe ps1 bat cmd hta lnk msi jar wsf cpl com pif iso img".split()
+
+# Zones of the mark that browsers leave, and benign streams.
+ZONES = {0: "local machine", 1: "intranet", 2: "trusted", 3: "internet", 4: "restricted"}
+BENIGN_STREAMS = ("zone.identifier", "smartscreen", "afp_afpinfo", "afp_resource", "favicon", "com.apple.")
+
+# Words in macros that run by themselves, and that reach outside the document.
+MACRO_AUTO = "AutoOpen AutoExec AutoExit AutoClose AutoNew Document_Open Document_Close Document_New DocumentOpen Workbook_Open Workbook_Close Workbook_Activate Workbook_BeforeClose Auto_Open Auto_Close".split()
+MACRO_RISKY = "Shell WScript.Shell CreateObject GetObject URLDownloadToFile XMLHTTP WinHttp PowerShell cmd.exe Environ Kill FileCopy ADODB.Stream SaveToFile Lib CallByName ExecuteExcel4Macro StrReverse Chr VirtualAlloc RtlMoveMemory".split()
