@@ -6,8 +6,8 @@ import atexit
 import tempfile
 import uuid
 
+import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -80,18 +80,69 @@ def binary_texts(batch: pa.RecordBatch, k: int) -> list[bytes | None]:
     return col.cast(pa.large_binary() if pa.types.is_large_string(col.type) else pa.binary()).to_pylist()
 
 
-class WordHashes(dict):
-    """word -> its 64-bit hash as 8 bytes; forgets all words when it holds too many."""
+def scramble(x: np.ndarray) -> np.ndarray:
+    """A one-to-one mix of 64-bit numbers."""
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
-    def __init__(self, most: int = 400_000):
-        super().__init__()
-        self.most = most
 
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= self.most:
-            self.clear()
-        got = self[word] = xxhash.xxh3_64_digest(word)
-        return got
+class WordHasher:
+    """64-bit hashes of all words of many texts at once, A-Z in lower case: no Python step for a word.
+
+    A word's hash is the sum of a random number of each byte times a power of an odd base. With running sums over the
+    whole buffer, a word is a difference of two of them, moved to power 0 by the inverse base, then mixed with its length.
+    """
+
+    BASE = 0x9E3779B97F4A7C15
+    STEP = 1 << 20
+
+    def __init__(self):
+        self.value = scramble(np.arange(1, 257, dtype="<u8") * np.uint64(0xD6E8FEB86659FD93))
+        self.space = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+        self.up = self.down = np.ones(1, "<u8")
+        self._reach(self.STEP)
+
+    def _reach(self, size: int) -> None:
+        if len(self.up) < size:
+            for name, base in (("up", self.BASE), ("down", pow(self.BASE, -1, 1 << 64))):
+                got = np.full(size, base, "<u8")
+                got[0] = 1
+                setattr(self, name, np.cumprod(got))
+
+    def __call__(self, texts: list[bytes | None], tails: bool = False) -> tuple[np.ndarray, ...]:
+        """(hashes of all words in order, number of words of each text); if asked for, each word's last three bytes
+        as a number, too."""
+        sizes = np.array([len(t) if t else 0 for t in texts], "int64") + 1
+        b = np.frombuffer(b"\n".join([*(t or b"" for t in texts), b""]).lower(), "u1")
+        self._reach(len(b) + 1)
+        word = ~self.space[b]
+        edge = np.flatnonzero(word[1:] != word[:-1]) + 1
+        if len(word) and word[0]:
+            edge = np.concatenate([[0], edge])
+        starts, ends = edge[::2], edge[1::2]  # the last byte is a line end
+        sums = np.concatenate([np.zeros(1, "<u8"), np.cumsum(self.value[b] * self.up[: len(b)], dtype="<u8")])
+        h = scramble((sums[ends] - sums[starts]) * self.down[starts] + (ends - starts).astype("<u8"))
+        places = np.searchsorted(starts, np.concatenate([[0], np.cumsum(sizes)]))
+        if tails:
+            b = np.concatenate([b, np.zeros(2, "u1")])  # places before the first byte read these
+            tail = np.zeros(len(ends), "int64")
+            for k in range(1, 4):
+                tail = tail * 256 + np.where(ends - k >= starts, b[ends - k], 0)
+            return h, np.diff(places), tail
+        return h, np.diff(places)
+
+    def batches(self, ids: list, texts: list[bytes | None], tails: bool = False):
+        """(ids, hashes, counts) of parts of about STEP bytes; a longer text is a part of its own."""
+        at, held = 0, 0
+        for k, t in enumerate(texts):
+            size = len(t) + 1 if t else 1
+            if held and held + size > self.STEP:
+                yield ids[at:k], *self(texts[at:k], tails)
+                at, held = k, 0
+            held += size
+        if at < len(texts):
+            yield ids[at:], *self(texts[at:], tails)
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:

@@ -9,40 +9,44 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import WordHashes, binary_texts, components, power_of_two, stage
+from .common import WordHasher, binary_texts, components, power_of_two, scramble, stage
 
 MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
-SKETCH_BLOCK = 1 << 18
-
-
-def _scramble(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(MIX[1])
-    return x ^ (x >> np.uint64(29))
-
-
-class Shingles:
-    """Sets of word n-grams as ascending 64-bit hashes. Fewer words than n are one n-gram; no word, no n-gram."""
-
-    def __init__(self, n: int = 5):
-        self.n, self.known = n, WordHashes(300_000)
-
-    def __call__(self, text: bytes | None) -> np.ndarray:
-        words = (text or b"").lower().split()
-        if not words:
-            return np.zeros(0, "<u8")
-        w = np.frombuffer(b"".join(map(self.known.__getitem__, words)), "<u8")
-        n = min(self.n, len(w))
-        size = len(w) - n + 1
-        x = np.full(size, len(w) if len(w) < self.n else 0, "<u8")
-        for i in range(n):
-            x = (x ^ w[i : i + size]) * np.uint64(MIX[i % 6]) + np.uint64(i)
-            x ^= x >> np.uint64(32)
-        return np.unique(_scramble(x))
+#: Sets of one element that all its sets are compared with first, and candidates a set has in that step.
+PIVOTS = 6
+#: The counts' cells are dealt into so many ranges.
+CELL_PARTS = 64
+
+
+def shingle_sets(hashes: np.ndarray, counts: np.ndarray, n: int) -> list[np.ndarray]:
+    """The set of word n-grams of each text, as ascending 64-bit hashes. Fewer words than n are one n-gram; no word,
+    no n-gram."""
+    size = len(hashes) - n + 1
+    x = np.zeros(max(size, 0), "<u8")
+    for i in range(n):
+        x = (x ^ hashes[i : i + size]) * np.uint64(MIX[i % 6]) + np.uint64(i)
+        x ^= x >> np.uint64(32)
+    x = scramble(x)
+    out, at = [], 0
+    for k in counts.tolist():
+        if k >= n:
+            own = np.sort(x[at : at + k - n + 1])
+            keep = np.empty(len(own), bool)
+            keep[0] = True
+            np.not_equal(own[1:], own[:-1], out=keep[1:])
+            out.append(own[keep])
+        elif k:
+            one = xxhash.xxh3_64_intdigest(hashes[at : at + k].tobytes(), seed=k)
+            out.append(np.array([one], "<u8"))
+        else:
+            out.append(np.zeros(0, "<u8"))
+        at += k
+    return out
 
 
 def _print(own: np.ndarray) -> int:
@@ -50,140 +54,180 @@ def _print(own: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(own.tobytes()) - (1 << 63)
 
 
-def _sets(batches: Iterator[pa.RecordBatch], n: int, once: bool = True) -> Iterator[tuple]:
-    """(id, fingerprint, set) of whole texts. once: a set that this task has met lately is left out."""
-    of, met = Shingles(n), set()
+def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple]:
+    """(id, fingerprint, set) of whole texts."""
+    hasher = WordHasher()
     for batch in batches:
         for at in range(0, batch.num_rows, 500):
             part = batch.slice(at, 500)
-            for doc, text in zip(part.column(0).to_pylist(), binary_texts(part, 1), strict=True):
-                own = of(text)
-                fp = _print(own) if len(own) else 0
-                if once:
-                    if not len(own) or fp in met:
-                        continue
-                    if len(met) > 500_000:
-                        met.clear()
-                    met.add(fp)
-                yield doc, fp, own
+            for ids, hashes, counts in hasher.batches(part.column(0).to_pylist(), binary_texts(part, 1)):
+                for doc, own in zip(ids, shingle_sets(hashes, counts, n), strict=True):
+                    yield doc, _print(own) if len(own) else 0, own
+
+
+class _Met(set):
+    """Fingerprints that a task has met lately; bounded."""
+
+    def new(self, fp: int) -> bool:
+        if fp in self:
+            return False
+        if len(self) > 500_000:
+            self.clear()
+        self.add(fp)
+        return True
+
+
+def _squeeze(cells: np.ndarray) -> bytes:
+    """Ascending numbers as steps of one byte; 255 stands for a part of a longer step."""
+    step = np.diff(cells, prepend=0)
+    long = step // 255
+    out = np.full(len(cells) + int(long.sum()), 255, "u1")
+    out[np.cumsum(long + 1) - 1] = step % 255
+    return out.tobytes()
+
+
+def _unsqueeze(data: bytes) -> np.ndarray:
+    step = np.frombuffer(data, "u1")
+    return np.cumsum(step, dtype="int64")[step < 255]
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
 
 def _shingled(docs: DataFrame, id_col: str, text_col: str, n: int, bits: int) -> DataFrame:
-    """One row a document (id, n, fp), and each task's counts of n-grams by hash, in blocks (block, counts)."""
+    """One row a document (id, n, fp), and by range the cells that hashes of its task's sets fall into (part, cells)."""
     kind = docs.schema[id_col].dataType
-    fields = T.StructType([T.StructField("id", kind), T.StructField("n", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("block", T.IntegerType()), T.StructField("counts", T.BinaryType())])
-    arrow = pa.schema([("id", to_arrow_type(kind)), ("n", pa.int64()), ("fp", pa.int64()), ("block", pa.int32()), ("counts", pa.binary())])
+    fields = T.StructType([T.StructField("id", kind), T.StructField("n", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("part", T.IntegerType()), T.StructField("cells", T.BinaryType())])
+    arrow = pa.schema([("id", to_arrow_type(kind)), ("n", pa.int64()), ("fp", pa.int64()), ("part", pa.int32()), ("cells", pa.binary())])
+    width = (1 << bits) // CELL_PARTS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, rows, held = np.zeros(1 << bits, "<u4"), ([], [], []), []
+        rows, held, size, met = ([], [], []), [], 0, _Met()
 
-        def out() -> pa.RecordBatch:
+        def out() -> Iterator[pa.RecordBatch]:
             k = len(rows[0])
-            got = pa.RecordBatch.from_arrays([pa.array(rows[0], arrow.field(0).type), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], schema=arrow)
-            for x in rows:
-                x.clear()
-            return got
-
-        def count() -> None:
+            yield pa.RecordBatch.from_arrays([pa.array(rows[0], arrow.field(0).type), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], schema=arrow)
             if held:
-                np.add.at(seen, (np.concatenate(held) >> np.uint64(64 - bits)).astype("int64"), 1)
-                held.clear()
+                cells = np.sort((np.concatenate(held) >> np.uint64(64 - bits)).astype("int64"))
+                edges = np.searchsorted(cells, np.arange(CELL_PARTS + 1) * width)
+                parts = [(p, _squeeze(cells[a:z] - p * width)) for p, (a, z) in enumerate(zip(edges, edges[1:], strict=False)) if z > a]
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(parts), arrow.field(0).type), pa.nulls(len(parts), pa.int64()), pa.nulls(len(parts), pa.int64()), pa.array([p for p, _ in parts], pa.int32()), pa.array([x for _, x in parts], pa.binary())], schema=arrow)
 
-        met = set()
-        for doc, fp, own in _sets(batches, n, once=False):
+        for doc, fp, own in _sets(batches, n):
             for x, v in zip(rows, (doc, len(own), fp), strict=True):
                 x.append(v)
-            if len(own) and fp not in met:  # copies do not make their n-grams frequent
-                if len(met) > 500_000:
-                    met.clear()
-                met.add(fp)
+            if len(own) and met.new(fp):  # copies do not make their n-grams frequent
                 held.append(own)
-            if len(rows[0]) == 2000:
-                count()
-                yield out()
-        count()
-        yield out()
-        for a in range(0, len(seen), SKETCH_BLOCK):
-            x = np.minimum(seen[a : a + SKETCH_BLOCK], 65_535).astype("<u2")
-            if x.any():
-                yield pa.RecordBatch.from_arrays([pa.nulls(1, arrow.field(0).type), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([a // SKETCH_BLOCK], pa.int32()), pa.array([x.tobytes()], pa.binary())], schema=arrow)
+                size += len(own)
+            if size >= 2_000_000 or len(rows[0]) >= 50_000:
+                yield from out()
+                rows, held, size = ([], [], []), [], 0
+        yield from out()
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, fields)
+    return _texts(docs, id_col, text_col).mapInArrow(run, fields)
 
 
-def _frequencies(shingled: DataFrame, bits: int) -> np.ndarray:
-    """Upper estimates of how many sets hold the n-grams of a hash range; 2 ** bits numbers, whatever the input."""
+def _levels(shingled: DataFrame, bits: int) -> np.ndarray:
+    """For each cell, four bits that say how often sets fall into it: 0 for once, then one more a doubling. Of fixed
+    size, whatever the input; an upper estimate of how many sets hold an n-gram."""
+    width = (1 << bits) // CELL_PARTS
 
     def add(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([(key[0], sum(np.frombuffer(x, "<u2").astype("<u4") for x in rows["counts"]).tobytes())], columns=["block", "counts"])
+        n = np.zeros(width, "<u4")
+        for x in rows["cells"]:
+            n += np.bincount(_unsqueeze(x), minlength=width).astype("<u4")
+        level = np.minimum(15, np.ceil(np.log2(np.maximum(n, 1)))).astype("u1")
+        return pd.DataFrame([(key[0], (level[::2] | level[1::2] << 4).tobytes())], columns=["part", "levels"])
+
+    out = np.zeros((1 << bits) // 2, "u1")
+    for x in shingled.where("part IS NOT NULL").select("part", "cells").groupBy("part").applyInPandas(add, "part int, levels binary").toLocalIterator():
+        out[x["part"] * width // 2 : (x["part"] + 1) * width // 2] = np.frombuffer(x["levels"], "u1")
+    return out
 
-    got = np.zeros(1 << bits, "<u4")
-    for x in shingled.where("block IS NOT NULL").select("block", "counts").groupBy("block").applyInPandas(add, "block int, counts binary").collect():
-        got[x["block"] * SKETCH_BLOCK : (x["block"] + 1) * SKETCH_BLOCK] = np.frombuffer(x["counts"], "<u4")
-    return got
 
+def level_of(hashes: np.ndarray, levels: np.ndarray, bits: int) -> np.ndarray:
+    cell = (hashes >> np.uint64(64 - bits)).astype("int64")
+    return (levels[cell >> 1] >> ((cell & 1) << 2).astype("u1")) & 15
 
-def _ordered(own: np.ndarray, level: np.ndarray, bits: int) -> np.ndarray:
-    """A set in the global order: by estimated frequency, then hash."""
-    return own[np.argsort(level[(own >> np.uint64(64 - bits)).astype("int64")], kind="stable")]
 
+def _ordered(own: np.ndarray, levels: np.ndarray, bits: int) -> np.ndarray:
+    """A set in the global order: by level, then hash."""
+    return own[np.argsort(level_of(own, levels, bits), kind="stable")]
 
-def _postings(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int, bits: int, level, hot: int, parts: int) -> DataFrame:
-    """(part, hashes, sets): of each set, its first elements in the global order; two sets that link share one.
 
-    A set of s elements that overlaps another in percent of the larger one has one of its first s - ceil(percent * s)
-    + 1 elements in common with the first ones of the other. Elements go to parts by hash; those held by very many
-    sets are spread over all parts by the set as well.
+def _postings(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int, bits: int, levels, hot: int, parts: int) -> DataFrame:
+    """(part, hashes, sets, places): of each set, its first elements in the global order. A place is that in the set,
+    up to 32,767, with the bit above set if it is in the set's head.
+
+    Two sets that link have an element in common among the first s - ceil(percent * s) + 1 of either, s being its
+    size; and the first one in common is in the smaller set's head, where the elements from there on can still make up
+    what two sets of its size need to share. Elements go to parts by hash; those held by very many sets are spread over all
+    parts by the set as well.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order, hashes, sets, held = level.value, [], [], 0
+        cols, held, met = ([], [], []), 0, _Met()
 
         def out() -> pa.RecordBatch:
-            h, s = np.concatenate(hashes), np.concatenate(sets)
-            part = _part(h, s, order, bits, hot, parts)
+            h, s, place = map(np.concatenate, cols)
+            part = _part(h, s, levels.value, bits, hot, parts)
             by = np.argsort(part, kind="stable")
-            h, s, edges = h[by], s[by], np.searchsorted(part[by], np.arange(parts + 1))
-            rows = [(p, h[a:z].tobytes(), s[a:z].tobytes()) for p, (a, z) in enumerate(zip(edges, edges[1:], strict=False)) if z > a]
-            hashes.clear()
-            sets.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["part", "hashes", "sets"])
+            h, s, place, edges = h[by], s[by], place[by], np.searchsorted(part[by], np.arange(parts + 1))
+            rows = [(p, h[a:z].tobytes(), s[a:z].tobytes(), place[a:z].tobytes()) for p, (a, z) in enumerate(zip(edges, edges[1:], strict=False)) if z > a]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["part", "hashes", "sets", "places"])
 
         for _, fp, own in _sets(batches, n):
-            first = _ordered(own, order, bits)[: len(own) - -(-percent * len(own) // 100) + 1]
-            hashes.append(first)
-            sets.append(np.full(len(first), fp, "<i8"))
+            if not len(own) or not met.new(fp):
+                continue
+            size = len(own)
+            first = _ordered(own, levels.value, bits)[: size - -(-percent * size // 100) + 1]
+            head = size - -(-2 * percent * size // (100 + percent))  # the last place that can be the first in common
+            at = np.arange(len(first))
+            place = np.minimum(at, 0x7FFF).astype("<u2") | np.where(at <= head, 0x8000, 0).astype("<u2")
+            for c, x in zip(cols, (first, np.full(len(first), fp, "<i8"), place), strict=True):
+                c.append(x)
             held += len(first)
             if held >= 1_000_000:
                 yield out()
-                held = 0
-        if hashes:
+                cols, held = ([], [], []), 0
+        if held:
             yield out()
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "part int, hashes binary, sets binary")
+    return _texts(docs, id_col, text_col).mapInArrow(run, "part int, hashes binary, sets binary, places binary")
 
 
-def _part(h: np.ndarray, s: np.ndarray, level: np.ndarray, bits: int, hot: int, parts: int) -> np.ndarray:
-    spread = np.where(level[(h >> np.uint64(64 - bits)).astype("int64")] >= hot, _scramble(s.view("<u8")), np.uint64(0))
-    return (_scramble(h + spread) % np.uint64(parts)).astype("int32")
+def _part(h: np.ndarray, s: np.ndarray, levels: np.ndarray, bits: int, hot: int, parts: int) -> np.ndarray:
+    spread = np.where(level_of(h, levels, bits) >= hot, scramble(s.view("<u8")), np.uint64(0))
+    return (scramble(h + spread) % np.uint64(parts)).astype("int32")
 
 
-def _shared(postings: DataFrame, level, bits: int, hot: int) -> DataFrame:
-    """(hash, set, spread): postings whose hash is met in more than one set; of spread hashes all."""
+def _shared(postings: DataFrame, levels, bits: int, hot: int) -> DataFrame:
+    """(h, s, head, p): postings whose hash is met in several sets, in the head of one of them; of spread hashes all."""
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         h = np.concatenate([np.frombuffer(x, "<u8") for x in rows["hashes"]])
         s = np.concatenate([np.frombuffer(x, "<i8") for x in rows["sets"]])
-        by = np.lexsort((s, h))
-        h, s = h[by], s[by]
-        new = np.concatenate([[True], (h[1:] != h[:-1]) | (s[1:] != s[:-1])])  # a set met in several tasks
-        h, s = h[new], s[new]
+        place = np.concatenate([np.frombuffer(x, "<u2") for x in rows["places"]])
+        by = np.argsort(h, kind="stable")
+        h, s, place = h[by], s[by], place[by]
         same = h[1:] == h[:-1]
-        wide = level.value[(h >> np.uint64(64 - bits)).astype("int64")] >= hot
-        keep = np.concatenate([[False], same]) | np.concatenate([same, [False]]) | wide
-        return pd.DataFrame({"h": h[keep].view("<i8"), "s": s[keep]})
+        wide = level_of(h, levels.value, bits) >= hot
+        keep = np.flatnonzero(np.concatenate([[False], same]) | np.concatenate([same, [False]]) | wide)
+        h, s, place, wide = h[keep], s[keep], place[keep], wide[keep]
+        by = np.lexsort((s, h))
+        h, s, place, wide = h[by], s[by], place[by], wide[by]
+        new = np.concatenate([[True], (h[1:] != h[:-1]) | (s[1:] != s[:-1])])[: len(h)]  # a set met in several tasks
+        h, s, place, wide = h[new], s[new], place[new], wide[new]
+        head = place >= 0x8000
+        if len(h):
+            first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            size = np.diff(np.append(first, len(h)))
+            some = np.repeat((size > 1) & (np.add.reduceat(head.astype("int64"), first) > 0), size) | wide
+            h, s, head, place = h[some], s[some], head[some], place[some]
+        return pd.DataFrame({"h": h.view("<i8"), "s": s, "head": head, "p": (place & 0x7FFF).astype("<i4")})
 
-    return postings.groupBy("part").applyInPandas(run, "h long, s long")
+    return postings.groupBy("part").applyInPandas(run, "h long, s long, head boolean, p int")
 
 
 def trie_join(probe: np.ndarray, sets: list[np.ndarray], percent: int) -> np.ndarray:
@@ -220,69 +264,20 @@ def trie_join(probe: np.ndarray, sets: list[np.ndarray], percent: int) -> np.nda
     return linked
 
 
-def _verified(pairs: DataFrame, sizes: DataFrame, docs: DataFrame, id_col: str, text_col: str, n: int, percent: int, bits: int, level, elements: int = 200_000) -> DataFrame:
-    """The pairs (a, b) of sets that link. A probe's partners are split into groups of about `elements` elements."""
-    spark = docs.sparkSession
-    size = lambda x: sizes.select(F.col("fp").alias(x), F.col("n").alias(f"n{x}"))
-    pairs = pairs.join(size("a"), "a").join(size("b"), "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
-    pairs = stage(pairs, "pairs")
-    empty = spark.createDataFrame([], "a long, b long")
-    if pairs.isEmpty():
-        return empty
-    wanted = _bits(pairs.select(F.explode(F.array("a", "b")).alias("s")).distinct(), bits)
-    wanted = spark.sparkContext.broadcast(wanted)
-
-    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # bits of the wanted fingerprints: what they let pass without need is dropped by the join
-        rows, held = ([], []), 0
+def _owner(fp: int, doc, bits: int) -> int:
+    """The bit of a document that hands out its set."""
+    return (xxhash.xxh3_64_intdigest(f"{doc}".encode(), seed=fp % (1 << 64)) * MIX[0] % (1 << 64)) >> (64 - bits)
 
-        def out() -> pa.RecordBatch:
-            got = pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.binary())], names=["s", "own"])
-            rows[0].clear()
-            rows[1].clear()
-            return got
 
-        for _, fp, own in _sets(batches, n):
-            at = _bit(fp, bits)
-            if wanted.value[at >> 3] >> (at & 7) & 1:
-                rows[0].append(fp)
-                rows[1].append(_ordered(own, level.value, bits).tobytes())
-                held += len(own)
-                if held > 1_000_000:
-                    yield out()
-                    held = 0
-        if rows[0]:
-            yield out()
-
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    sets = stage(texts.mapInArrow(fetch, "s long, own binary"), "sets")
-    # a set met in several tasks counts once
-    sets = sets.join(pairs.select(F.explode(F.array("a", "b")).alias("s")).distinct(), "s", "left_semi").groupBy("s").agg(F.any_value("own").alias("own"))
-    groups = pairs.groupBy("a").agg(F.ceil(F.sum("nb") / elements).cast("int").alias("groups"))
-    probes = groups.join(sets.withColumnRenamed("s", "a"), "a").select(F.col("a").alias("pa"), F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("pg"), F.col("own").alias("probe"))
-    members = pairs.join(groups, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("groups")).cast("int").alias("g")).join(sets.withColumnRenamed("s", "b"), "b")
-
-    def join(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"a": [], "b": []}).astype("int64")
-        probe = np.frombuffer(left["probe"].iloc[0], "<u8")
-        return right.loc[trie_join(probe, [np.frombuffer(x, "<u8") for x in right["own"]], percent), ["a", "b"]]
-
-    return stage(probes.groupBy("pa", "pg").cogroup(members.groupBy("a", "g")).applyInPandas(join, "a long, b long"), "links")
-
-
-def _bit(fp: int, bits: int) -> int:
-    return ((fp + (1 << 63)) * MIX[0] % (1 << 64)) >> (64 - bits)
-
-
-def _bits(wanted: DataFrame, bits: int) -> np.ndarray:
-    """2 ** bits bits, set where a wanted fingerprint falls: of fixed size, and never without one that is wanted."""
+def _bits(owners: DataFrame, bits: int) -> np.ndarray:
+    """2 ** bits bits, set for the documents (fp, id) that hand out sets: of fixed size, and none that is wanted is
+    ever missing."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = np.zeros(1 << bits, bool)
         for batch in batches:
-            x = batch.column(0).to_numpy().view("<u8") + np.uint64(1 << 63)
-            got[((x * np.uint64(MIX[0])) >> np.uint64(64 - bits)).astype("int64")] = True
+            for fp, doc in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                got[_owner(fp, doc, bits)] = True
         got = np.packbits(got, bitorder="little")
         rows = [(a, got[a : a + 65_536].tobytes()) for a in range(0, len(got), 65_536) if got[a : a + 65_536].any()]
         yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], names=["a", "x"])
@@ -291,23 +286,72 @@ def _bits(wanted: DataFrame, bits: int) -> np.ndarray:
         return pd.DataFrame([(key[0], reduce(np.bitwise_or, [np.frombuffer(x, "u1") for x in rows["x"]]).tobytes())], columns=["a", "x"])
 
     out = np.zeros((1 << bits) // 8, "u1")
-    for r in wanted.mapInArrow(run, "a int, x binary").groupBy("a").applyInPandas(either, "a int, x binary").collect():
+    for r in owners.mapInArrow(run, "a int, x binary").groupBy("a").applyInPandas(either, "a int, x binary").collect():
         x = np.frombuffer(r["x"], "u1")
         out[r["a"] : r["a"] + len(x)] = x
     return out
 
 
+def _fetched(docs: DataFrame, owners: DataFrame, id_col: str, text_col: str, n: int, bits: int, levels) -> DataFrame:
+    """(s, own): the sets of the owners (fp, id), in the global order. Few others can pass by a shared bit."""
+    wide = max(18, bits - 4)
+    wanted = docs.sparkSession.sparkContext.broadcast(_bits(owners, wide))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, held = ([], []), 0
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.binary())], names=["s", "own"])
+
+        for doc, fp, own in _sets(batches, n):
+            at = _owner(fp, doc, wide)
+            if len(own) and wanted.value[at >> 3] >> (at & 7) & 1:
+                rows[0].append(fp)
+                rows[1].append(_ordered(own, levels.value, bits).tobytes())
+                held += len(own)
+                if held > 500_000:
+                    yield out()
+                    rows, held = ([], []), 0
+        if held:
+            yield out()
+
+    return _texts(docs, id_col, text_col).mapInArrow(run, "s long, own binary")
+
+
+def _verified(pairs: DataFrame, sizes: DataFrame, sets: DataFrame, percent: int, elements: int = 200_000) -> DataFrame:
+    """The pairs of sets (a, b) that link, of candidates (a, b). A probe's partners are split into groups of about `elements` elements, each a trie of its own; sets
+    are joined once, to all groups where they are probe or member."""
+    size = lambda x: sizes.select(F.col("fp").alias(x), F.col("n").alias(f"n{x}"))
+    pairs = pairs.join(size("a"), "a").join(size("b"), "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
+    pairs = stage(pairs.select("a", "b", "nb").distinct(), "pairs")
+    groups = pairs.groupBy("a").agg(F.ceil(F.sum("nb") / elements).cast("int").alias("groups"))
+    members = pairs.join(groups, "a").select(F.col("b").alias("s"), "a", F.pmod(F.xxhash64("b"), F.col("groups")).cast("int").alias("g"), F.lit(False).alias("probe"))
+    probes = groups.select(F.col("a").alias("s"), "a", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("g"), F.lit(True).alias("probe"))
+
+    def join(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        probe = rows[rows["probe"]]
+        rest = rows[~rows["probe"]]
+        if not len(probe) or not len(rest):
+            return pd.DataFrame({"a": [], "b": []}).astype("int64")
+        linked = trie_join(np.frombuffer(probe["own"].iloc[0], "<u8"), [np.frombuffer(x, "<u8") for x in rest["own"]], percent)
+        return pd.DataFrame({"a": key[0], "b": rest["s"][linked]})
+
+    own = members.unionByName(probes).join(sets, "s")
+    return stage(own.groupBy("a", "g").applyInPandas(join, "a long, b long"), "links")
+
+
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The components of documents whose sets of word n-grams have a Jaccard similarity of at least percent / 100.
 
     Words are runs without white space, A-Z in lower case. Documents with equal sets are one set; only sets are
     compared. Steps:
     1. fingerprints of all sets, and fixed-size counts of n-grams by hash, which give the global order (rare first);
-    2. the first elements of each set in that order are shuffled; sets that share one are candidates, each with the
-       smallest set of that element: as many pairs as postings, however large a group of near copies is;
+    2. the first elements of each set in that order are shuffled; sets that share one are candidates. First each with
+       at most PIVOTS others, those drawn ones with which it shares most: linear, however large a group of near copies is;
     3. candidates are verified exactly by a trie join in groups of bounded size, and joined to components;
     4. for elements whose sets are still in different components, all pairs across components are verified too.
-    A link between two sets is thereby found directly, or both are in one component already: none is lost.
+    A link between two sets is thereby found directly, or both are in one component already: none is lost. What the
+    counts tell decides only how many candidates there are.
 
     Null, empty and wordless texts have an empty set and link with nothing. Rows that repeat an id are one document:
     their sets count as linked. Rows with a null id are left out of all links and have a null component. Very long
@@ -317,32 +361,40 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75, id_col: str
     """
     spark = docs.sparkSession
     rows = docs.count()
-    bits = int(power_of_two(rows * 16, 1 << 18, 1 << 25)).bit_length() - 1
+    bits = int(power_of_two(rows * 256, 1 << 18, 1 << 27)).bit_length() - 1
     parts = power_of_two(docs.rdd.getNumPartitions(), 32, 4096)
+    hot = min(15, int(np.ceil(np.log2(max(256, rows / 256)))))
     shingled = stage(_shingled(docs, id_col, text_col, n, bits), "shingled")
-    seen = _frequencies(shingled, bits)
-    level = np.minimum(255, 4 * np.log2(1 + seen)).astype("u1")  # 4 steps to a doubling
-    hot = int(4 * np.log2(1 + max(256, rows / 256)))
-    level = spark.sparkContext.broadcast(level)
-    found = shingled.where("block IS NULL").select("id", "n", "fp")
-    sizes = found.where("n > 0").groupBy("fp").agg(F.max("n").alias("n"))
-    postings = _postings(docs.where(F.col(id_col).isNotNull()), id_col, text_col, n, percent, bits, level, hot, parts)
-    shared = stage(_shared(postings, level, bits, hot), "shared")
+    levels = spark.sparkContext.broadcast(_levels(shingled, bits))
+    found = shingled.where("part IS NULL").select("id", "n", "fp")
+    sizes = found.where("n > 0").groupBy("fp").agg(F.max("n").alias("n"), F.min("id").alias("id"))
     known = docs.where(F.col(id_col).isNotNull())
-    least = shared.groupBy("h").agg(F.min("s").alias("a"), F.max("s").alias("z")).where("a < z")
-    stars = shared.join(least.select("h", "a"), "h").where("a < s").select("a", F.col("s").alias("b")).distinct()
-    links = _verified(stars, sizes, known, id_col, text_col, n, percent, bits, level)
-    by_id = found.where("n > 0 AND id IS NOT NULL").groupBy("id").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).where("a < z")
-    same_id = found.where("n > 0").join(by_id, "id").where("fp > a").select("a", F.col("fp").alias("b"))
-    links = links.union(same_id)
+    shared = _shared(_postings(known, id_col, text_col, n, percent, bits, levels, hot, parts), levels, bits, hot)
+    shared = stage(shared.join(sizes.select(F.col("fp").alias("s"), "n"), "s").select("h", "s", "head", "p", "n"), "shared")
+    # Two sets whose first common element is at these places can share no more than what follows it in either.
+    reach = f"{100 + percent}L * least(na - pa, nb - pb) >= {percent}L * (na + nb)"
+    # Spread hashes come together here: only bounded summaries of them move. What is left is held by several sets.
+    pivot = lambda k: F.min(F.when(F.col("head"), F.struct(F.xxhash64("s", F.lit(k)).alias("o"), F.col("s").alias("a"), F.col("n").alias("na"), F.col("p").alias("pa"))))
+    least = shared.groupBy("h").agg(F.min("s").alias("x"), F.max("s").alias("z"), F.array_distinct(F.array(*[pivot(k).dropFields("o") for k in range(PIVOTS)])).alias("pivots")).where("x < z AND pivots[0] IS NOT NULL")
+    stars = shared.select("h", F.col("s").alias("b"), F.col("n").alias("nb"), F.col("p").alias("pb")).join(least.select("h", "pivots"), "h")
+    stars = stars.select("b", "nb", "pb", F.explode("pivots").alias("v")).select("b", "nb", "pb", "v.*").where(f"a <> b AND {reach}")
+    stars = stars.groupBy("a", "b").agg(F.count("*").alias("k"))
+    nearest = Window.partitionBy("b").orderBy(F.desc("k"), "a")
+    stars = stars.withColumn("i", F.row_number().over(nearest)).where(F.col("i") <= PIVOTS).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    wanted = shared.join(least.select("h"), "h", "left_semi").select(F.col("s").alias("fp")).distinct()
+    sets = stage(_fetched(known, sizes.join(wanted, "fp").select("fp", "id"), id_col, text_col, n, bits, levels), "sets")
+    links = _verified(stars, sizes.select("fp", "n"), sets, percent)
+    by_id = found.where("n > 0 AND id IS NOT NULL").groupBy("id").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).where("a < z").drop("z")
+    links = links.union(found.where("n > 0").join(by_id, "id").where("fp > a").select("a", F.col("fp").alias("b")))
     comps = stage(components(links), "comps")
-    in_comp = shared.join(comps, shared["s"] == comps["node"], "left").select("h", "s", F.coalesce("comp", "s").alias("c"))
+    in_comp = shared.join(comps, shared["s"] == comps["node"], "left").select("h", "s", "p", "n", "head", F.coalesce("comp", "s").alias("c"))
     in_comp = stage(in_comp, "in_comp")
-    mixed = in_comp.groupBy("h").agg(F.min("c").alias("x"), F.max("c").alias("z")).where("x < z").select("h")
+    mixed = in_comp.groupBy("h").agg(F.min("c").alias("x"), F.max("c").alias("z"), F.max("head").alias("some")).where("x < z AND some").select("h")
     mixed = in_comp.join(mixed, "h", "left_semi")
-    left, right = (mixed.select("h", F.col("s").alias(x), F.col("c").alias(f"c{x}")) for x in "ab")
-    across = left.join(right, "h").where("ca < cb").select("a", "b").distinct()
-    more = _verified(across, sizes, known, id_col, text_col, n, percent, bits, level)
+    left, right = (mixed.select("h", *[F.col(c).alias(f"{c}{x}") for c in ("p", "n", "c", "s")]) for x in "ab")
+    across = left.join(right.withColumnRenamed("h", "h2"), F.expr(f"h = h2 AND ca < cb AND {reach}"))
+    across = across.select(F.col("sa").alias("a"), F.col("sb").alias("b")).distinct()
+    more = _verified(across, sizes.select("fp", "n"), sets, percent)
     if not more.isEmpty():
         comps = stage(components(links.union(more)), "comps")
     out = found.join(comps, found["fp"] == comps["node"], "left").select("id", "n", F.coalesce("comp", "fp").alias("c"))
