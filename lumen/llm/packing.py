@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -14,27 +16,56 @@ from pyspark.sql import functions as F
 from .common import BINARY, INT, LONG, binary_texts, schema, stage
 
 
+#: Words of these characters need no normalising but lower case, and are split by SPLIT as the tokenizer does.
+PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+").fullmatch
+SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z\u00df-\u00f6\u00f8-\u00ff0-9]+").findall
+
+
+def byte_letters() -> dict[int, str]:
+    """Byte-level BPE writes each byte as one letter: itself if it is a visible Latin-1 character, else the next one
+    from U+0100 on."""
+    shown = [x for x in range(256) if 33 <= x <= 126 or 161 <= x <= 172 or x >= 174]
+    rest = [x for x in range(256) if x not in shown]
+    return {x: chr(x) for x in shown} | {x: chr(256 + k) for k, x in enumerate(rest)}
+
+
 class WordIds(dict):
     """word -> its token ids as little-endian 32-bit words. The tokenizer drops white space and never joins over it,
-    so ids of a text are those of its words in order. Bounded: forgets all when full."""
+    so ids of a text are those of its words in order. What is kept is bounded: words of the last generation that are
+    not met again are forgotten."""
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 100_000):
         super().__init__()
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.tokenizer, self.most, self.old = Tokenizer.from_file(path), most, {}
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-
-    def learn(self, words: set[bytes]) -> None:
-        if len(self) + len(words) > self.most:
-            self.clear()
-        words = list(words)
-        for w, e in zip(words, self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in words], add_special_tokens=False), strict=True):
-            self[w] = np.array(e.ids, "<u4").tobytes()
+        self.model, self.parts, self.letters = self.tokenizer.model, {}, byte_letters()
 
     def __missing__(self, word: bytes) -> bytes:
-        self.learn({word})
-        return self[word]
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        got = self.old.get(word)
+        if got is None:
+            got = self._ids(word.decode("utf-8", "replace"))
+        self[word] = got
+        return got
+
+    def _ids(self, word: str) -> bytes:
+        if not PLAIN(word):
+            return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        out = []
+        for part in SPLIT(word.lower()):
+            got = self.parts.get(part)
+            if got is None:
+                if len(self.parts) >= 2 * self.most:
+                    self.parts.clear()
+                letters = part if part.isascii() else "".join(map(self.letters.__getitem__, part.encode()))
+                ids = [x.id for x in self.model.tokenize(letters)]
+                got = self.parts[part] = struct.pack(f"<{len(ids)}I", *ids)
+            out.append(got)
+        return b"".join(out)
 
 
 def tokenized_pieces(docs: DataFrame, path: str, length: int = 2048, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, with_ids: bool = False) -> DataFrame:
@@ -53,11 +84,9 @@ def tokenized_pieces(docs: DataFrame, path: str, length: int = 2048, id_col: str
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                ids, own, cols = part.column(0).to_pylist(), [], ([], [], [], [], [], [])
-                split = [(t or b"").split() for t in binary_texts(part, 1)]
-                known.learn({w for ws in split for w in ws if w not in known})
-                for doc, ws in zip(ids, split, strict=True):
-                    own = b"".join(map(known.__getitem__, ws)) + end
+                ids, cols = part.column(0).to_pylist(), ([], [], [], [], [], [])
+                for doc, text in zip(ids, binary_texts(part, 1), strict=True):
+                    own = b"".join(map(known.__getitem__, (text or b"").split())) + end
                     for piece, a in enumerate(range(0, len(own), step)):
                         x = own[a : a + step]
                         for c, v in zip(cols, (doc, piece, a // 4, len(x) // 4, zlib.crc32(x), x), strict=True):
@@ -67,13 +96,9 @@ def tokenized_pieces(docs: DataFrame, path: str, length: int = 2048, id_col: str
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, out)
 
 
-def best_two_fit(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bins of capacity `size` for lengths in [1, size]: the bin of each item, and its offset there.
-
-    A bin is filled greedily with the longest item that still fits. Then its smallest item gives way to two unpacked
-    items that together fit the expanded gap more tightly, as long as that is possible. Only counts by length are
-    looked at: bit sets of the lengths still unpacked find the longest fit and the best pair in a few machine words.
-    """
+def _bins(lengths: np.ndarray, size: int, swap: bool) -> list[list[int]]:
+    """Bins as lists of lengths. Only counts by length are looked at: bit sets of the lengths still unpacked find the
+    longest fit and the best pair in a few machine words."""
     count = np.bincount(lengths, minlength=size + 1).tolist()
     have = sum(1 << x for x in range(1, size + 1) if count[x])
     back = sum(1 << (size - x) for x in range(1, size + 1) if count[x])  # bit size - x: length x is there
@@ -96,12 +121,14 @@ def best_two_fit(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray
         """Two unpacked lengths whose sum is as near to most as can be, and at least least."""
         for want in range(most, least - 1, -1):
             # x is there and want - x is there: bit want - x of have is bit size - want + x of back
-            both = have & (back >> (size - want)) if want <= size else have & (back << (want - size))
-            while both:
-                x = both.bit_length() - 1
+            half = (want + 1) // 2
+            both = (have & (back >> (size - want))) >> half
+            while both:  # the most even pair: small lengths are kept to fill gaps later
+                low = both & -both
+                x = half + low.bit_length() - 1
                 if x < want and (2 * x != want or count[x] > 1):
                     return x, want - x
-                both &= ~(1 << x)
+                both ^= low
         return None
 
     while have:
@@ -111,7 +138,7 @@ def best_two_fit(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray
             take(x)
             own.append(x)
             gap -= x
-        while gap and have:
+        while swap and gap and have:
             least = min(own)
             if not (two := pair(least + gap, least + 1)):
                 break
@@ -122,7 +149,17 @@ def best_two_fit(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray
                 own.append(x)
             gap = size - sum(own)
         bins.append(own)
+    return bins
 
+
+def best_two_fit(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bins of capacity `size` for lengths in [1, size]: the bin of each item, and its offset there.
+
+    A bin is filled greedily with the longest item that still fits. Then its smallest item gives way to two unpacked
+    items that together fit the expanded gap more tightly, as long as that is possible. Swaps can use up the items
+    that long ones would need later: if filling without swaps takes fewer bins, that packing is returned.
+    """
+    bins = min((_bins(lengths, size, True), _bins(lengths, size, False)), key=len)
     of_length: list[list[int]] = [[] for _ in range(size + 1)]
     for i in range(len(lengths) - 1, -1, -1):
         of_length[lengths[i]].append(i)
