@@ -151,14 +151,20 @@ def context(text: Column, pattern: str, before: int = 80, after: int = 120) -> C
     return F.substring(text, a + 1, z - a)
 
 
+#: Letters that Unicode folds to s and k stand for them here, too.
+_STEMS = "(?i)" + rules.INJECTION_STEMS.replace("s", "[sſ]").replace("k", "[k\u212a]")
+
+
 def hits(text: Column, patterns=rules.INJECTION) -> Column:
     """(description, context) of each pattern that matches, in the order of the patterns."""
-    each = [F.when(text.rlike(java(p)), F.struct(F.lit(d).alias("what"), context(text, p).alias("around"))) for p, d in patterns]
-    return F.array_compact(F.array(*each))
+    each = F.array_compact(F.array(*[F.when(text.rlike(java(p)), F.struct(F.lit(d).alias("what"), context(text, p).alias("around"))) for p, d in patterns]))
+    if patterns is not rules.INJECTION:
+        return each
+    return F.when(text.rlike(_STEMS), each).otherwise(F.array().cast("array<struct<what:string,around:string>>"))
 
 
 #: A word of letters set apart by single marks; a longer run that may spell a phrase. Possessive, so no input is too deep.
-_SPACED = r"(?U)(?<!\w)(?:\w[ .\-_·*]){3,}+\w(?!\w)|(?<!\w)\w(?:[\s.\-_·*]{1,3}+\w(?!\w)){7,}+"
+_SPACED = r"(?<!\w)(?:\w[ .\-_·*]){3,}+\w(?!\w)|(?<!\w)\w(?:[\s.\-_·*]{1,3}+\w(?!\w)){7,}+"
 
 
 def may_be_disguised(text: Column) -> Column:

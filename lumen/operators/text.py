@@ -66,8 +66,10 @@ def injections(texts: DataFrame) -> DataFrame:
     """
     once = lambda df, name, value: df.select(*df.columns, F.explode(F.array(value)).alias(name))
     text = F.col("text")
-    rows = once(texts, "direct", X.hits(F.when(text.rlike(r"[^\x00-\x7F]"), X.strip_invisible(text)).otherwise(text)))
-    rows = rows.withColumn("read", X.fold(F.when((F.size("direct") == 0) & X.may_be_disguised(text), text)))
+    plain = F.when(text.rlike(r"[^\x00-\x7F]"), X.strip_invisible(text)).otherwise(text)
+    rows = once(texts, "plain", plain)
+    rows = once(rows, "direct", X.hits(F.col("plain"))).drop("plain")
+    rows = once(rows, "read", X.fold(F.when((F.size("direct") == 0) & X.may_be_disguised(text), text)))
     phrase = F.struct(F.lit("Letter-spaced instruction phrase").alias("what"), _said("'", F.col("read.phrase"), "' spelled out with spaces between letters").alias("around"))
     none = F.array().cast("array<struct<what:string,around:string>>")
     folded = F.concat(F.when(F.col("read.folded").isNotNull(), X.hits(F.col("read.folded"))).otherwise(none), F.when(F.col("read.phrase").isNotNull(), F.array(phrase)).otherwise(none))

@@ -55,6 +55,12 @@ INJECTION = (
     (r"\b(call|invoke|execute)\b.{0,20}\b(the )?(\w+ )?(tool|plugin|shell command)\b.{0,40}\b(without|silently|immediately|now)\b", "Tool-invocation instruction"),
 )
 
+# Without one of these no injection pattern can match: one search spares most texts all the others.
+INJECTION_STEMS = (
+    "ignore|disregard|forget|override|bypass|you are|you're|act as|pretend |roleplay as|from now on|system|developer|hidden|secret|instruction|note|message| ai| llm|language model|assistant|do not |candidate|applicant|resume|cv|"
+    r"highest|maximum|perfect|10/10|5 stars|full marks|positive |favou?rable |[<\[]|jailbreak|dan mode|do anything now|http|www\.|@|when |only with|tool|plugin|shell command"
+)
+
 # Phrases looked for in letter-spaced runs.
 SQUASHED = ("ignoreallpreviousinstructions", "ignorepreviousinstructions", "ignoreallpriorinstructions", "ignorepriorinstructions", "disregardpreviousinstructions", "disregardallpreviousinstructions", "forgetallpreviousinstructions", "forgetpreviousinstructions", "ignoretheaboveinstructions", "ignoreallinstructions", "systemprompt", "youarenowan", "developermode", "jailbreak")
 
