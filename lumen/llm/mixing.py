@@ -51,7 +51,7 @@ def sainte_lague(votes: list[float], seats: int, most: list[int]) -> list[int]:
     return got
 
 
-def mix_sources(docs: DataFrame, weights=(1, 2, 3), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17, max_blocks: int = 1 << 16, rows_per_shard: int = 4000) -> DataFrame:
+def mix_sources(docs: DataFrame, weights=(1, 2, 3), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17, max_blocks: int = 1 << 14, rows_per_shard: int = 4000) -> DataFrame:
     """How many words of each document a mix takes whose sources have target weights.
 
     The words of a source, in a seeded order of its documents, are cut into blocks of equal word count; blocks are
