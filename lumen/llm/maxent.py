@@ -2,24 +2,20 @@
 
 from __future__ import annotations
 
-import struct
-import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_texts, power_of_two, stage
+from .common import WordHasher, binary_texts, power_of_two, stage
 
-#: No word can be a line end, so that stands for the end of a text.
-END = b"\n"
+#: Stands for the end of a text among the hashes of words.
+END = np.uint64(0x656E64206F662074)
 #: Outcomes of the softmax: CLASSES classes of PER words; outcome 0 is any other word, 1 the end.
 CLASSES, PER = 32, 32
 WORDS = CLASSES * PER
@@ -29,10 +25,6 @@ CONTEXTS = WORDS + 1 + ENDINGS
 #: Rows of the hashed feature tables.
 PAIRS, CELLS = 1 << 13, 1 << 13
 CHUNK = 400_000
-_REST = struct.Struct("<iHH").pack
-ENTRY = np.dtype([("hash", "<u8"), ("at", "<i4"), ("context", "<u2"), ("out", "<u2")])
-
-
 @dataclass
 class Model:
     """Vocabulary and weights: biases, and one row for each previous word, word before it (skip), and hashed pair, by
@@ -47,7 +39,7 @@ class Model:
     tables: list[np.ndarray] = None
 
     def __post_init__(self) -> None:
-        end = int.from_bytes(xxhash.xxh3_64_digest(END), "little")
+        end = int(END)
         top = [(h, c) for h, c in zip(self.hashes[: WORDS - 1].tolist(), self.counts[: WORDS - 1].tolist(), strict=True) if h != end][: WORDS - 2]
         own = [(end, int(c)) for c in self.counts[self.hashes == end]] or [(end, 0)]
         self.chosen = [*own, *top]  # outcomes 1, 2, ...
@@ -75,36 +67,64 @@ class Model:
 SHAPES = [(CONTEXTS, CLASSES), (CONTEXTS, CLASSES), (PAIRS, CLASSES), (CELLS, PER), (CELLS, PER)]
 
 
-class Words(dict):
-    """word -> ENTRY as bytes: its hash, place among the common words (-1: not there), context and outcome."""
+class Words:
+    """Looks up many word hashes at once: place among the common words (-1: not there), context and outcome."""
+
+    SLOTS = 22
+
+    def __init__(self, model: Model):
+        self.hashes = model.hashes
+        self.order = np.argsort(model.hashes).astype("int32")
+        self.ascending = model.hashes[self.order]
+        # a slot for each range of hashes holds one of its words; words of crowded slots are searched for
+        slot = self._slot(model.hashes)
+        self.first = np.full(1 << self.SLOTS, -1, "int32")
+        self.first[slot[::-1]] = np.arange(len(slot), dtype="int32")[::-1]
+        self.crowded = np.zeros(1 << self.SLOTS, bool)
+        self.crowded[slot[self.first[slot] != np.arange(len(slot))]] = True
+        self.outcome = np.zeros(len(model.hashes) + 1, "int64")  # the last is that of place -1
+        place = {h: i for i, h in enumerate(model.hashes.tolist())}
+        for i, (h, _) in enumerate(model.chosen):
+            if h in place:
+                self.outcome[place[h]] = i + 1
+
+    def _slot(self, hashes: np.ndarray) -> np.ndarray:
+        return (hashes >> np.uint64(64 - self.SLOTS)).astype("int64")
+
+    def __call__(self, hashes: np.ndarray) -> np.ndarray:
+        if not len(self.hashes):
+            return np.full(len(hashes), -1, "int32")
+        slot = self._slot(hashes)
+        at = self.first[slot]
+        at = np.where(self.hashes[at] == hashes, at, -1)
+        rest = np.flatnonzero((at < 0) & self.crowded[slot])
+        if len(rest):
+            k = np.minimum(np.searchsorted(self.ascending, hashes[rest]), len(self.ascending) - 1)
+            at[rest] = np.where(self.ascending[k] == hashes[rest], self.order[k], -1)
+        return at
 
-    def __init__(self, model: Model, most: int = 150_000):
-        super().__init__()
-        self.most = most
-        self.place = {h: i for i, h in enumerate(model.hashes.tolist())}
-        self.outcome = {h: i + 1 for i, (h, _) in enumerate(model.chosen)}
 
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= self.most:
-            self.clear()
-        digest = xxhash.xxh3_64_digest(word)
-        h = int.from_bytes(digest, "little")
-        out = self.outcome.get(h, 0)
-        got = self[word] = digest + _REST(self.place.get(h, -1), out or WORDS + 1 + zlib.crc32(word[-3:]) % ENDINGS, out)
-        return got
+@dataclass
+class Tokens:
+    """Tokens of some texts in order, each text closed by an end."""
+
+    hash: np.ndarray
+    at: np.ndarray
+    context: np.ndarray
+    out: np.ndarray
 
 
 class Chunk:
     """Tokens of some texts with the features of their contexts. Equal contexts are computed once."""
 
-    def __init__(self, tokens: np.ndarray, lengths: np.ndarray):
-        x = tokens["context"].astype("int64")
+    def __init__(self, tokens: Tokens, lengths: np.ndarray):
+        x = tokens.context
         start = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype("int64")
         one = np.concatenate([[BEGIN], x[:-1]])
         one[start] = BEGIN
         two = np.concatenate([[BEGIN], one[:-1]])
         two[start] = BEGIN
-        out = tokens["out"].astype("int64")
+        out = tokens.out
         key, self.of, self.n = np.unique(one * CONTEXTS + two, return_inverse=True, return_counts=True)
         a, b = key // CONTEXTS, key % CONTEXTS
         self.rows = [a, b, (key * 0x9E3779B1 >> 7) % PAIRS]
@@ -179,26 +199,39 @@ def _tokens(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], words: Words) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
+def _chunks(batches: Iterator[pa.RecordBatch], words: Words) -> Iterator[tuple[list, Tokens, np.ndarray]]:
     """(ids, tokens, lengths) of whole texts, about CHUNK tokens at a time; one text may be longer."""
-    ids, parts, lengths, held = [], [], [], 0
+    hasher = WordHasher()
+    ids, parts, held = [], [], 0
 
     def out() -> tuple:
-        return ids, np.frombuffer(b"".join(parts), ENTRY), np.array(lengths, "int64")
+        h, counts, tails = (np.concatenate(x) for x in zip(*parts, strict=True))
+        lengths = counts + 1
+        ends = np.cumsum(lengths) - 1
+        word = np.ones(int(lengths.sum()), bool)
+        word[ends] = False
+        all_h = np.full(len(word), END, "<u8")
+        all_h[word] = h
+        at = words(all_h)
+        outcome = words.outcome[at]
+        outcome[ends] = 1
+        context = outcome.copy()
+        other = np.flatnonzero(outcome == 0)
+        ending = np.zeros(len(word), "int64")
+        ending[word] = tails
+        context[other] = WORDS + 1 + (ending[other] * 0x9E3779B1 >> 8) % ENDINGS
+        return ids, Tokens(all_h, at, context, outcome), lengths
 
-    end = words[END]
     for batch in batches:
         for at in range(0, batch.num_rows, 500):
             part = batch.slice(at, 500)
-            for doc, text in zip(part.column(0).to_pylist(), binary_texts(part, 1), strict=True):
-                split = (text or b"").lower().split()
-                ids.append(doc)
-                parts.append(b"".join(map(words.__getitem__, split)) + end)
-                lengths.append(len(split) + 1)
-                held += len(split) + 1
+            for some, h, counts, tails in hasher.batches(part.column(0).to_pylist(), binary_texts(part, 1), tails=True):
+                ids += some
+                parts.append((h, counts, tails))
+                held += len(h) + len(some)
                 if held >= CHUNK:
                     yield out()
-                    ids, parts, lengths, held = [], [], [], 0
+                    ids, parts, held = [], [], 0
     if ids:
         yield out()
 
@@ -208,35 +241,47 @@ def _parts(hashes: np.ndarray, parts: int) -> np.ndarray:
     return np.searchsorted(hashes, (np.arange(parts, dtype="float64") * (2.0**64 / parts)).astype("uint64")).tolist() + [len(hashes)]
 
 
-def count_words(docs: DataFrame, id_col: str, text_col: str, parts: int, most: int = 400_000) -> DataFrame:
+def count_words(docs: DataFrame, id_col: str, text_col: str, parts: int, most: int = 1_000_000) -> DataFrame:
     """(part, hashes, counts, n, v): counts of all tokens, summed in each task before they are shuffled, by hash range."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter = Counter()
+        hasher, h, n, held, size = WordHasher(), np.zeros(0, "<u8"), np.zeros(0, "<i8"), [], 0
+
+        def merge() -> None:
+            nonlocal h, n, size
+            own, more = np.unique(np.concatenate(held), return_counts=True)
+            both = np.concatenate([h, own])
+            order = np.argsort(both, kind="stable")
+            first = np.flatnonzero(np.concatenate([[True], np.diff(both[order]) != 0]))
+            n = np.add.reduceat(np.concatenate([n, more])[order], first)
+            h = both[order[first]]
+            held.clear()
+            size = 0
 
         def out() -> pa.RecordBatch:
-            h = np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, found)), "<u8")
-            n = np.fromiter(found.values(), "<i8", len(found))
-            order = np.argsort(h)
-            h, n = h[order], n[order]
             edges = _parts(h, parts)
-            rows = [{"part": p, "hashes": h[a:z].tobytes(), "counts": n[a:z].tobytes()} for p, (a, z) in enumerate(zip(edges, edges[1:], strict=False)) if z > a]
-            found.clear()
+            rows = [{"part": p, "hashes": h[a:z].tobytes(), "counts": n[a:z].astype("<u4").tobytes()} for p, (a, z) in enumerate(zip(edges, edges[1:], strict=False)) if z > a]
             return pa.RecordBatch.from_pylist(rows, schema=pa.schema([("part", pa.int32()), ("hashes", pa.binary()), ("counts", pa.binary())]))
 
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
-                for text in binary_texts(batch.slice(at, 500), 1):
-                    found.update((text or b"").lower().split())
-                    found[END] += 1
-                if len(found) >= most:
-                    yield out()
-        if found:
+                part = batch.slice(at, 500)
+                for ids, own, _ in hasher.batches(part.column(0).to_pylist(), binary_texts(part, 1)):
+                    held += [own, np.full(len(ids), END, "<u8")]
+                    size += len(own) + len(ids)
+                    if size >= 1_000_000:
+                        merge()
+                        if len(h) >= most:
+                            yield out()
+                            h, n = np.zeros(0, "<u8"), np.zeros(0, "<i8")
+        if held:
+            merge()
+        if len(h):
             yield out()
 
     def total(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         h = np.concatenate([np.frombuffer(x, "<u8") for x in rows["hashes"]])
-        n = np.concatenate([np.frombuffer(x, "<i8") for x in rows["counts"]])
+        n = np.concatenate([np.frombuffer(x, "<u4") for x in rows["counts"]])
         h, of = np.unique(h, return_inverse=True)
         n = np.bincount(of, weights=n).astype("<i8")
         return pd.DataFrame([(key[0], h.tobytes(), n.tobytes(), int(n.sum()), len(n))], columns=["part", "hashes", "counts", "n", "v"])
@@ -359,14 +404,14 @@ def score(docs: DataFrame, model: Model, vocabulary: DataFrame, id_col: str = "d
         for ids, tokens, lengths in _chunks(batches, words):
             n = len(ids)
             first = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-            at = tokens["at"]
+            at = tokens.at
             base = np.where(at >= 0, table[at] if len(table) else 0.0, 0.0)
-            score = Chunk(tokens, lengths).score(m) + np.where((tokens["out"] == 0) & (at >= 0), base - rest, 0.0)
+            score = Chunk(tokens, lengths).score(m) + np.where((tokens.out == 0) & (at >= 0), base - rest, 0.0)
             add = lambda x: np.add.reduceat(x, first)  # noqa: E731  every text has a token
             yield pa.RecordBatch.from_arrays([pa.array(np.full(n, -1), pa.int32()), pa.array(task + row + np.arange(n), pa.int64()), pa.array(ids, to_arrow_type(kind)), pa.array(lengths, pa.int64()), pa.array(add((at >= 0).astype("int64")), pa.int64()), pa.array(add(base)), pa.array(add(score)), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], schema=schema)
             rare = np.flatnonzero(at < 0)
             of = np.repeat(np.arange(n, dtype="<u4"), lengths)[rare]
-            h = tokens["hash"][rare]
+            h = tokens.hash[rare]
             order = np.argsort(h, kind="stable")
             edges = _parts(h[order], parts)
             got = []
