@@ -18,7 +18,9 @@ from .common import WordHasher, binary_texts, components, power_of_two, scramble
 
 MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
 #: Sets of one element that all its sets are compared with first, and candidates a set has in that step.
-PIVOTS = 6
+PIVOTS = 8
+#: Rounds of comparisons with pivots before all that is still apart is compared.
+STARS = 2
 #: The counts' cells are dealt into so many ranges.
 CELL_PARTS = 64
 
@@ -340,6 +342,19 @@ def _verified(pairs: DataFrame, sizes: DataFrame, sets: DataFrame, percent: int,
     return stage(own.groupBy("a", "g").applyInPandas(join, "a long, b long"), "links")
 
 
+def _stars(shared: DataFrame, turn: int, reach: str) -> DataFrame:
+    """Candidates (a, b) in different components c: each set with at most PIVOTS of the drawn sets of its elements,
+    those with which it shares most."""
+    pivot = lambda k: F.min(F.when(F.col("head"), F.struct(F.xxhash64("s", F.lit(turn * PIVOTS + k)).alias("o"), F.col("s").alias("a"), F.col("n").alias("na"), F.col("p").alias("pa"), F.col("c").alias("ca"))))
+    drawn = F.array_distinct(F.array(*[pivot(k).dropFields("o") for k in range(PIVOTS)]))
+    pivots = shared.groupBy("h").agg(F.min("c").alias("x"), F.max("c").alias("z"), drawn.alias("pivots")).where("x < z AND pivots[0] IS NOT NULL").select("h", "pivots")
+    pairs = shared.select("h", F.col("s").alias("b"), F.col("n").alias("nb"), F.col("p").alias("pb"), F.col("c").alias("cb")).join(pivots, "h")
+    pairs = pairs.select("b", "nb", "pb", "cb", F.explode("pivots").alias("v")).select("b", "nb", "pb", "cb", "v.*").where(f"ca <> cb AND {reach}")
+    nearest = Window.partitionBy("b").orderBy(F.desc("k"), "a")
+    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("k")).withColumn("i", F.row_number().over(nearest)).where(F.col("i") <= PIVOTS)
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The components of documents whose sets of word n-grams have a Jaccard similarity of at least percent / 100.
 
@@ -374,21 +389,20 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75, id_col: str
     # Two sets whose first common element is at these places can share no more than what follows it in either.
     reach = f"{100 + percent}L * least(na - pa, nb - pb) >= {percent}L * (na + nb)"
     # Spread hashes come together here: only bounded summaries of them move. What is left is held by several sets.
-    pivot = lambda k: F.min(F.when(F.col("head"), F.struct(F.xxhash64("s", F.lit(k)).alias("o"), F.col("s").alias("a"), F.col("n").alias("na"), F.col("p").alias("pa"))))
-    least = shared.groupBy("h").agg(F.min("s").alias("x"), F.max("s").alias("z"), F.array_distinct(F.array(*[pivot(k).dropFields("o") for k in range(PIVOTS)])).alias("pivots")).where("x < z AND pivots[0] IS NOT NULL")
-    stars = shared.select("h", F.col("s").alias("b"), F.col("n").alias("nb"), F.col("p").alias("pb")).join(least.select("h", "pivots"), "h")
-    stars = stars.select("b", "nb", "pb", F.explode("pivots").alias("v")).select("b", "nb", "pb", "v.*").where(f"a <> b AND {reach}")
-    stars = stars.groupBy("a", "b").agg(F.count("*").alias("k"))
-    nearest = Window.partitionBy("b").orderBy(F.desc("k"), "a")
-    stars = stars.withColumn("i", F.row_number().over(nearest)).where(F.col("i") <= PIVOTS).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    least = shared.groupBy("h").agg(F.min("s").alias("x"), F.max("s").alias("z"), F.max("head").alias("some")).where("x < z AND some")
+    stars = _stars(shared.withColumn("c", F.col("s")), 0, reach)
     wanted = shared.join(least.select("h"), "h", "left_semi").select(F.col("s").alias("fp")).distinct()
     sets = stage(_fetched(known, sizes.join(wanted, "fp").select("fp", "id"), id_col, text_col, n, bits, levels), "sets")
     links = _verified(stars, sizes.select("fp", "n"), sets, percent)
     by_id = found.where("n > 0 AND id IS NOT NULL").groupBy("id").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).where("a < z").drop("z")
     links = links.union(found.where("n > 0").join(by_id, "id").where("fp > a").select("a", F.col("fp").alias("b")))
-    comps = stage(components(links), "comps")
-    in_comp = shared.join(comps, shared["s"] == comps["node"], "left").select("h", "s", "p", "n", "head", F.coalesce("comp", "s").alias("c"))
-    in_comp = stage(in_comp, "in_comp")
+    for turn in range(1, STARS + 1):
+        comps = stage(components(links), "comps")
+        in_comp = shared.join(comps, shared["s"] == comps["node"], "left").select("h", "s", "p", "n", "head", F.coalesce("comp", "s").alias("c"))
+        in_comp = stage(in_comp, "in_comp")
+        if turn < STARS:
+            # again among what is still apart, with other pivots
+            links = links.union(_verified(_stars(in_comp, turn, reach), sizes.select("fp", "n"), sets, percent))
     mixed = in_comp.groupBy("h").agg(F.min("c").alias("x"), F.max("c").alias("z"), F.max("head").alias("some")).where("x < z AND some").select("h")
     mixed = in_comp.join(mixed, "h", "left_semi")
     left, right = (mixed.select("h", *[F.col(c).alias(f"{c}{x}") for c in ("p", "n", "c", "s")]) for x in "ab")
