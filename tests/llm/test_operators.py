@@ -6,7 +6,9 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -16,6 +18,7 @@ from lumen.llm import ann, common, lines, maxent, mixing, ngram_join, packing, q
 from lumen.llm.queries import remainder, tokenizer
 
 WORDS = "the of and to in is that it was for on are as with his they at be this from have or by one had not but what all were when we there can an your which their said if do".split()
+SMALL = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -192,6 +195,41 @@ def test_search_is_exact(spark, docs, empty):
     assert search.top_documents(empty, q).count() == 0
 
 
+def test_search_by_documents_is_exact(spark, docs, empty):
+    bags = [(r[0], Counter((r[1] or "").encode().lower().split())) for r in corpus()]
+    asked = {r[0]: Counter((r[1] or "").encode().lower().split()) for r in corpus() if r[0] % 4 == 0}
+    q = docs.where("doc_id % 4 = 0").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("query_id"), "text")
+    old, search.SHARD_POSTINGS = search.SHARD_POSTINGS, 300
+    try:
+        got = sorted(map(tuple, search.top_documents_by_documents(docs, q, k=7, block=5).collect()))
+    finally:
+        search.SHARD_POSTINGS = old
+    n, mean = len(bags), sum(sum(b.values()) for _, b in bags) / len(bags)
+    df = Counter(w for _, b in bags for w in b)
+    want = []
+    for k, terms in asked.items():
+        scores = []
+        for doc, b in bags:
+            s = sum(c * math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * b[w] * 2.2 / (b[w] + 1.2 * (0.25 + 0.75 * sum(b.values()) / mean)) for w, c in terms.items() if b[w])
+            if s:
+                scores.append((-round(s, 6), doc))
+        want += [(k, i + 1, doc, -s) for i, (s, doc) in enumerate(sorted(scores)[:7])]
+    assert [x[:3] for x in got] == [x[:3] for x in sorted(want)] and np.allclose([x[3] for x in got], [x[3] for x in sorted(want)], atol=2e-6)
+    assert search.top_documents_by_documents(empty, q).count() == 0
+
+
+@pytest.mark.skipif(not Path(SMALL).exists(), reason="no test data")
+def test_op4_takes_every_twentieth_document(spark):
+    from lumen.llm.queries import ORACLES, QUERIES
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SMALL}/documents.parquet'")
+    want = con.execute(ORACLES["op4_bm25_documents"]).fetchall()
+    got = sorted(map(tuple, QUERIES["op4_bm25_documents"](spark, SMALL).collect()))
+    assert [x[:3] for x in got] == sorted(x[:3] for x in want) and len({x[0] for x in got}) == 10
+    assert np.allclose([x[3] for x in got], [x[3] for x in sorted(want)], atol=2e-6)
+
+
 def test_mixing(spark, docs, empty):
     rows = mixing.mix_sources(docs).collect()
     size = lambda t: len(WORD.findall(t or ""))
