@@ -31,6 +31,20 @@ def test_queries_match_their_sql(spark, name):
     assert rows(got) == rows(want) and len(got)
 
 
+@pytest.mark.skipif(not Path(DATA).exists(), reason="no test data")
+def test_visible_texts_show_whole_texts(spark):
+    import __spark_entry__ as e
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{DATA}/documents.parquet'")
+    got = {r["doc_id"]: r["shown"] for r in e.queries()["visible_texts"](spark, DATA).collect()}
+    assert got == dict(con.execute(e.oracle_sql()["visible_texts"]).fetchall())
+    texts = dict(con.execute("SELECT doc_id, text FROM documents").fetchall())
+    tail = lambda i: "<0x02>" * (i % 3) + "<U+202D>" * (i % 4) + "<U+E006A>" * (i % 2) + "<U+200D>" * (i % 5) + "end<U+200B>"
+    plain = [i for i, t in texts.items() if t.isascii() and t.isprintable()]
+    assert set(got) == set(texts) and all(got[i].endswith(texts[i] + tail(i)) for i in plain) and any(len(texts[i]) > 40 for i in plain)
+
+
 def test_without_the_training_data_operators():
     code = "import sys\nclass Gone:\n    def find_spec(self, name, path=None, target=None):\n        if name.startswith(('lumen.llm', 'corpus_pipeline')):\n            raise ImportError(name)\nsys.meta_path.insert(0, Gone())\nimport __spark_entry__ as e\nq = e.queries()\nassert q and not any(k.startswith('op') or k == 'pipeline' for k in q) and set(e.oracle_sql()) <= set(q)"
     done = subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True)
