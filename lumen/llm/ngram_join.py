@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import WordHasher, binary_texts, components, power_of_two, scramble, stage
+from .common import WORD, WordHasher, binary_texts, components, power_of_two, scramble, stage
 
 MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
 #: Sets of one element that all its sets are compared with first, and candidates a set has in that step.
@@ -419,8 +419,23 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75, id_col: str
 
 
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each component, the one with its id; rows without words and rows with a null id all stay."""
-    found = near_duplicates(docs, n, percent, id_col, text_col).where(F.col(id_col).isNotNull())
-    gone = found.groupBy(F.col(id_col).alias("__id")).agg(F.min("component_id").alias("__c")).where("__c <> __id").select("__id")
-    kept = docs.join(gone, docs[id_col] == gone["__id"], "left_anti")
-    return kept
+    """docs with exactly one row of each component: one with its id, with words if any row of that id has some.
+
+    Rows that repeat an id are one document. Rows with a null id are documents of their own here, behind all others in
+    order, so copies among them and of other documents go too. Documents without words link with nothing and stay.
+    Only rows of repeated ids are shuffled, at most one of an id from each task.
+    """
+    if not docs.where(F.col(id_col).isNull()).isEmpty():
+        none = F.col(id_col).isNull()
+        key = F.struct(none.alias("none"), F.col(id_col).alias("id"), F.when(none, F.monotonically_increasing_id()).otherwise(-1).alias("row"))
+        return keep_one(stage(docs.withColumn("__key", key), "keyed"), n, percent, "__key", text_col).drop("__key")
+    found = near_duplicates(docs, n, percent, id_col, text_col)
+    ids = stage(found.groupBy(F.col(id_col).alias("__id")).agg(F.min("component_id").alias("__c"), F.count("*").alias("__rows")).where("__c <> __id OR __rows > 1"), "ids")
+    kept = docs.join(ids, docs[id_col] == ids["__id"], "left_anti")
+    again = ids.where("__c = __id").select("__id")
+    if again.isEmpty():
+        return kept
+    words = F.coalesce(F.col(text_col).rlike(WORD), F.lit(False))
+    order = Window.partitionBy(id_col).orderBy(words.desc(), text_col)
+    one = docs.join(again, docs[id_col] == again["__id"], "left_semi").withColumn("__row", F.row_number().over(order)).where("__row = 1").drop("__row")
+    return kept.union(one)

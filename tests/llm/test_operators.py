@@ -162,6 +162,18 @@ def test_near_duplicates(spark, docs, empty):
     assert ngram_join.near_duplicates(empty).count() == 0
 
 
+def test_keep_one_keeps_one_row(spark, docs):
+    want = linked(corpus())
+    assert Counter(r["doc_id"] for r in ngram_join.keep_one(docs).collect()) == Counter(set(want.values()))
+    new = "a text that only rows without an id hold, several times over"
+    more = [(3, corpus()[3][1]), (3, None), (900, ""), (900, " "), *[(None, t) for t in (corpus()[0][1], corpus()[3][1] + " end", new, new, None, "")]]
+    d = spark.createDataFrame([*corpus(), *[(i, t, "en", "a", 0, 0.0, 0) for i, t in more]], SCHEMA)
+    rows = ngram_join.keep_one(d).collect()
+    assert Counter(r["doc_id"] for r in rows if r["doc_id"] is not None) == Counter({*want.values(), 900})
+    assert sorted(r["text"] or "" for r in rows if r["doc_id"] is None) == ["", "", new]
+    assert rows[0].__fields__ == d.columns and all(r["text"] for r in rows if r["doc_id"] == want[3])
+
+
 def test_trie_join_is_exact():
     rng = random.Random(6)
     base = [rng.randrange(1 << 60) for _ in range(90)]
