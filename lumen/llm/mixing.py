@@ -6,6 +6,7 @@ import heapq
 import random
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +14,11 @@ from .common import WORD, power_of_two, stage
 
 #: Words of one document are taken at most this many times.
 MOST = 3
+#: Blocks that the smallest target of an uncapped source has at least, so that rounding cannot move it far.
+LEAST_BLOCKS = 64
+#: Rows of picked blocks that may be broadcast; more are joined by source and block.
+BROADCAST_BLOCKS = 200_000
+PICKED = pa.schema([("src", pa.string()), ("block", pa.int64()), ("base", pa.int64()), ("times", pa.int64())])
 
 
 def targets(sizes: dict, weights: list[float], most: float = MOST) -> dict:
@@ -60,8 +66,10 @@ def mix_sources(docs: DataFrame, weights=(1, 2, 3), id_col: str = "doc_id", text
     the blocks taken, repeats counted. Prefix sums run per shard (a hash range of ids) and source, so that a source
     with a third of all rows stays spread.
 
-    The driver holds one row per (source, shard) and at most max_blocks blocks plus one per source; sources are
-    assumed to be few (below about 10,000).
+    Blocks are small enough for LEAST_BLOCKS of them in the smallest uncapped target, so their number grows with that
+    of sources. The driver holds one row per (source, shard) and arrays of at most max_blocks blocks, or LEAST_BLOCKS
+    for each unit of the sources' weights if that is more; many are joined and not broadcast. Sources are assumed to
+    be few (below about 10,000).
 
     Null text has size 0 and takes 0; a null source is a source of its own, last in order. Repeated ids are separate
     rows. Sources without words have target 0. An empty table gives an empty result. Other columns play no part.
@@ -80,7 +88,10 @@ def mix_sources(docs: DataFrame, weights=(1, 2, 3), id_col: str = "doc_id", text
         sizes[src] = sizes.get(src, 0) + n
     sizes = {s: sizes[s] for s in sorted(sizes, key=lambda s: (s is None, s or ""))}
     goal = targets(sizes, [weights[i % len(weights)] for i in range(len(sizes))]) if sizes else {}
+    uncapped = [goal[s] for s in sizes if 0 < goal[s] < MOST * sizes[s]]
     block = max(16, -(-sum(sizes.values()) // max_blocks))
+    if uncapped:
+        block = max(1, min(block, int(min(uncapped) // LEAST_BLOCKS)))
     count = {s: -(-n // block) for s, n in sizes.items()}
     quota = dict(zip(sizes, sainte_lague([goal[s] / block for s in sizes], round(sum(goal.values()) / block), [MOST * count[s] for s in sizes]), strict=True)) if sizes else {}
     for s in sizes:  # a target at the cap is the whole source, its short last block included
@@ -103,9 +114,11 @@ def mix_sources(docs: DataFrame, weights=(1, 2, 3), id_col: str = "doc_id", text
                 times[a : a + k] = q // k
                 times[random.Random(f"{seed}/{s!r}/{shard}").sample(range(a, a + k), q % k)] += 1
         before = np.concatenate([[0], np.cumsum(times * block)]) if count[s] else np.zeros(1, "int64")
-        picked += [(s, j, int(before[j]), int(times[j]) if j < count[s] else 0) for j in range(count[s] + 1)]
-    # At most max_blocks + 2 rows per source, and one row per (source, shard): bounded by the parameters.
-    picked = F.broadcast(spark.createDataFrame(picked, "src string, block long, base long, times long"))
+        picked.append(pa.table({"src": pa.array([s], pa.string()).take(pa.array(np.zeros(count[s] + 1, "int64"))), "block": np.arange(count[s] + 1), "base": before.astype("int64"), "times": np.append(times, 0)}))
+    # One row per (source, shard), broadcast; the blocks only if they are few.
+    picked = pa.concat_tables(picked) if picked else PICKED.empty_table()
+    few = F.broadcast if picked.num_rows <= BROADCAST_BLOCKS else lambda frame: frame
+    picked = spark.createDataFrame(picked)
     offsets = F.broadcast(spark.createDataFrame(offsets, "src string, shard int, start long"))
     about = F.broadcast(spark.createDataFrame([(s, n, goal[s]) for s, n in sizes.items()], "src string, source_size long, target double"))
     order = Window.partitionBy("shard", "src").orderBy("h", "id", "size")
@@ -118,7 +131,7 @@ def mix_sources(docs: DataFrame, weights=(1, 2, 3), id_col: str = "doc_id", text
     out = out.withColumn("m", F.expr("a + size div 2"))
     for name in ("a", "z", "m"):
         frame = picked.select(*[F.col(c).alias(f"{name}_{c}") for c in ("src", "block", "base", "times")])
-        out = out.join(F.broadcast(frame), F.expr(f"src <=> {name}_src AND {name} div {block}L = {name}_block"))
+        out = out.join(few(frame), F.expr(f"src <=> {name}_src AND {name} div {block}L = {name}_block"))
         out = out.withColumn(f"{name}_words", F.expr(f"{name}_base + ({name} - {name}_block * {block}L) * {name}_times"))
     return out.select(F.col("id").alias(id_col), "size", F.col("src").alias(source_col), F.col("t_source_size").alias("source_size"), F.col("t_target").alias("target"), (F.col("z_words") - F.col("a_words")).alias("taken"), F.col("m_times").cast("int").alias("copies"))
 

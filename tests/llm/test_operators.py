@@ -258,6 +258,20 @@ def test_mixing(spark, docs, empty):
     assert mixing.mix_sources(empty).count() == 0 and set(mixing.mixed(docs).columns) == set(docs.columns)
 
 
+def test_mixing_of_many_sources_meets_small_targets(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(i, "w " * rng.randrange(40, 60), f"s{i % 1000}") for i in range(6000)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    got = sorted(map(tuple, mixing.mix_sources(d).collect()))
+    taken, goal = Counter(), {}
+    for r in got:
+        taken[r[2]] += r[5]
+        goal[r[2]] = r[4]
+    assert len(goal) == 1000 and all(abs(taken[s] - t) <= 0.05 * t for s, t in goal.items())
+    monkeypatch.setattr(mixing, "BROADCAST_BLOCKS", 0)
+    assert sorted(map(tuple, mixing.mix_sources(d).collect())) == got
+
+
 def test_sainte_lague():
     got = mixing.sainte_lague([53.0, 24.0, 23.0], 7, [9, 9, 9])
     assert got == [3, 2, 2] and mixing.sainte_lague([5.0, 5.0], 4, [1, 9]) == [1, 3]
