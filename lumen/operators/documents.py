@@ -272,6 +272,10 @@ def pdf_spans(facts: DataFrame) -> DataFrame:
     on = geometry.held(s, images, keys, 2.0)
     for rows, name in ((over, "covered"), (under, "image"), (on, "on_image")):
         s = s.join(at(rows, name), ["artifact_id", "seq"], "left")
+    largest = images.groupBy(*keys).agg(F.max(F.abs((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")))).alias("image_area"))
+    s = s.join(largest, keys, "left")
+    page_area = F.greatest(F.lit(1.0), (F.col("px1") - F.col("px0")) * (F.col("py1") - F.col("py0")))
+    s = s.withColumn("ocr", (F.col("mode") == 3) & F.coalesce(F.col("image_area") > 0.5 * page_area, F.lit(False)))
     lum = lambda r, g, b: sum(w * F.when(v / 255 <= 0.03928, v / 255 / 12.92).otherwise(F.pow((v / 255 + 0.055) / 1.055, F.lit(2.4))) for w, v in ((0.2126, r), (0.7152, g), (0.0722, b)))
     fore = lum(F.col("r"), F.col("g"), F.col("b"))
     back = F.when(F.col("back").isNotNull(), lum(F.col("back.r"), F.col("back.g"), F.col("back.b"))).when(F.col("on_image").isNull(), F.lit(1.0))
@@ -286,7 +290,7 @@ def pdf_spans(facts: DataFrame) -> DataFrame:
         (F.col("covered"), "covered by a shape drawn later"),
         (F.col("image"), "covered by an image drawn later"),
     ]
-    return s.withColumn("reasons", F.array_compact(F.array(*[F.when(cond, said) for cond, said in why])))
+    return s.withColumn("reasons", F.array_compact(F.array(*[F.when(~F.col("ocr") & cond, said) for cond, said in why])))
 
 
 def pdf(facts: DataFrame, spark: SparkSession, spans: DataFrame) -> DataFrame:
@@ -307,6 +311,7 @@ def pdf(facts: DataFrame, spark: SparkSession, spans: DataFrame) -> DataFrame:
     note, field = of(facts, "pdf_annotation").where("context = 'annotation'"), of(facts, "pdf_annotation").where("context = 'field'")
     unseen = flags.bitwiseAND(F.lit(2 | 32)) != 0
     groups = listed(spans.where(F.size("reasons") > 0), ["artifact_id", "location", "reasons"], F.col("text"), " ")
+    scanned = listed(spans.where("ocr"), ["artifact_id", "location"], F.col("text"), " ")
     many = of(facts, "pdf_revisions")
     return union([
         told(acting, F.col("sev"), F.col("cat"), "document", _said("Key ", F.col("key"), " in objects ", F.col("items"), "."), seq=F.col("seq")),
@@ -315,6 +320,7 @@ def pdf(facts: DataFrame, spark: SparkSession, spans: DataFrame) -> DataFrame:
         told(lost, "LOW", "Orphaned objects", "document", _said(F.col("count"), " objects that nothing leads to: ", F.col("items"))),
         told(listed(of(facts, "pdf_layer_off"), ["artifact_id"], F.col("text"), ", "), "MEDIUM", "Hidden layers", "document", _said("Layers that are off: ", F.col("items"))),
         told(groups.where(F.col("items").rlike(X.WORD_CHAR + "{2}")), "HIGH", "Hidden text", F.col("location"), F.array_join("reasons", "; "), F.col("items")),
+        told(scanned, "INFO", "OCR text layer", F.col("location"), "Invisible text over a scanned image, as text recognition leaves it.", F.substring("items", 1, 300)),
         told(note.where(unseen), F.when(F.col("text") != "", "HIGH").otherwise("LOW"), "Hidden annotation", F.col("location"), "The annotation is marked not to show.", F.col("text")),
         told(field.where(unseen), "HIGH", "Hidden form field", F.col("location"), "The field is marked not to show.", F.col("text")),
         told(of(facts, "pdf_xmp").where(F.length(F.regexp_replace("text", r"\s+", "")) > 4000), "LOW", "Large XMP metadata", F.col("location"), "Much more metadata than usual."),
@@ -324,8 +330,8 @@ def pdf(facts: DataFrame, spark: SparkSession, spans: DataFrame) -> DataFrame:
 
 
 def pdf_units(facts: DataFrame, spans: DataFrame) -> DataFrame:
-    u = listed(spans.withColumn("h", F.size("reasons") > 0), ["artifact_id", "location", "h"], F.col("text"), " ")
-    u = u.select("artifact_id", F.col("seq").alias("unit_seq"), "location", F.lit("").alias("context"), F.col("h").alias("hidden"), F.col("items").alias("text"))
+    u = listed(spans.withColumn("h", F.size("reasons") > 0), ["artifact_id", "location", "h", "ocr"], F.col("text"), " ")
+    u = u.select("artifact_id", F.col("seq").alias("unit_seq"), "location", F.when(F.col("ocr"), "OCR layer").otherwise("").alias("context"), F.col("h").alias("hidden"), F.col("items").alias("text"))
     js = of(facts, "pdf_js", "pdf_annotation").where("text <> ''").select("artifact_id", F.col("seq").alias("unit_seq"), "location", F.col("kind").alias("context"), F.lit(True).alias("hidden"), "text")
     return u.unionByName(js)
 

@@ -125,3 +125,16 @@ def test_decode():
 
 def test_facts_stay_spread(scan):
     assert scan.findings.where(F.col("severity").isNull()).count() == 0
+
+
+def test_text_over_a_scan_is_an_ocr_layer(spark, tmp_path):
+    words = lambda t: f"BT 3 Tr /F1 12 Tf 72 700 Td ({t}) Tj ET"
+    image = lambda w, h: f"q {w} 0 0 {h} 0 0 cm /Im0 Do Q "
+    for name, content in {"scan": image(612, 792) + words("words read from a scan"), "small": image(300, 300) + words("words read from a scan"), "order": image(612, -792) + words(fixtures.ORDER)}.items():
+        (tmp_path / f"{name}.pdf").write_bytes(fixtures.pdf_file(content))
+    got = {}
+    for r in scan_files(spark, str(tmp_path)).findings.collect():
+        got.setdefault(r["artifact_id"].rsplit("/", 1)[-1], {})[r["category"]] = (r["severity"], r["location"], r["snippet"])
+    assert got["scan.pdf"]["OCR text layer"] == ("INFO", "Page 1", "words read from a scan") and "Hidden text" not in got["scan.pdf"]
+    assert got["small.pdf"]["Hidden text"][0] == "HIGH" and "OCR text layer" not in got["small.pdf"]
+    assert "Hidden text" not in got["order.pdf"] and got["order.pdf"]["Possible AI prompt injection"][1] == "Page 1 (OCR layer)"
