@@ -3,26 +3,33 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import WORD, WordHasher, binary_texts, components, power_of_two, scramble, stage
+from .common import WORD, WordHasher, binary_texts, components, power_of_two, scramble, stage, unstage
 
 MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
-#: Sets of one element that all its sets are compared with first, and candidates a set has in that step.
-PIVOTS = 8
-#: Rounds of comparisons with pivots before all that is still apart is compared.
-STARS = 2
-#: The counts' cells are dealt into so many ranges.
-CELL_PARTS = 64
+#: n-grams that a task holds before it passes them on.
+CHUNK = 2_000_000
+#: n-grams of a range of hashes, which one Python call sorts.
+RANGE = 3_000_000
+#: An n-gram in so many sets of one chunk is counted early, and is hot if the early counts come to the share HOT of all sets.
+LOCAL, HOT, LEAST_HOT = 8, 1 / 512, 4096
+#: An n-gram as a number: its level (0 to 30: 2 ** level sets at most; 31: hot) above so many bits of its hash. Numeric
+#: order is the global order, rare first.
+BITS, HOT_LEVEL = 58, 31
+#: Elements of one trie.
+TRIE = 100_000
+#: Sets of one element that its other sets are compared with, and candidates a set has in that step.
+PIVOTS = 3
 
 
 def shingle_sets(hashes: np.ndarray, counts: np.ndarray, n: int) -> list[np.ndarray]:
@@ -79,42 +86,28 @@ class _Met(set):
         return True
 
 
-def _squeeze(cells: np.ndarray) -> bytes:
-    """Ascending numbers as steps of one byte; 255 stands for a part of a longer step."""
-    step = np.diff(cells, prepend=0)
-    long = step // 255
-    out = np.full(len(cells) + int(long.sum()), 255, "u1")
-    out[np.cumsum(long + 1) - 1] = step % 255
-    return out.tobytes()
-
-
-def _unsqueeze(data: bytes) -> np.ndarray:
-    step = np.frombuffer(data, "u1")
-    return np.cumsum(step, dtype="int64")[step < 255]
-
-
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
 
-def _shingled(docs: DataFrame, id_col: str, text_col: str, n: int, bits: int) -> DataFrame:
-    """One row a document (id, n, fp), and by range the cells that hashes of its task's sets fall into (part, cells)."""
+def _prints(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
+    """One row a document (id, n, fp), and rows (h, k) of n-grams that k sets of a chunk hold, k at least LOCAL."""
     kind = docs.schema[id_col].dataType
-    fields = T.StructType([T.StructField("id", kind), T.StructField("n", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("part", T.IntegerType()), T.StructField("cells", T.BinaryType())])
-    arrow = pa.schema([("id", to_arrow_type(kind)), ("n", pa.int64()), ("fp", pa.int64()), ("part", pa.int32()), ("cells", pa.binary())])
-    width = (1 << bits) // CELL_PARTS
+    fields = T.StructType([T.StructField("id", kind), T.StructField("n", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("h", T.LongType()), T.StructField("k", T.IntegerType())])
+    arrow = pa.schema([("id", to_arrow_type(kind)), ("n", pa.int64()), ("fp", pa.int64()), ("h", pa.int64()), ("k", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, held, size, met = ([], [], []), [], 0, _Met()
 
         def out() -> Iterator[pa.RecordBatch]:
-            k = len(rows[0])
-            yield pa.RecordBatch.from_arrays([pa.array(rows[0], arrow.field(0).type), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], schema=arrow)
+            some = len(rows[0])
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, arrow.types[:3], strict=True)] + [pa.nulls(some, t) for t in arrow.types[3:]], schema=arrow)
             if held:
-                cells = np.sort((np.concatenate(held) >> np.uint64(64 - bits)).astype("int64"))
-                edges = np.searchsorted(cells, np.arange(CELL_PARTS + 1) * width)
-                parts = [(p, _squeeze(cells[a:z] - p * width)) for p, (a, z) in enumerate(zip(edges, edges[1:], strict=False)) if z > a]
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(parts), arrow.field(0).type), pa.nulls(len(parts), pa.int64()), pa.nulls(len(parts), pa.int64()), pa.array([p for p, _ in parts], pa.int32()), pa.array([x for _, x in parts], pa.binary())], schema=arrow)
+                h = np.sort(np.concatenate(held))
+                first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+                k = np.diff(np.append(first, len(h)))
+                h, k = h[first][k >= LOCAL], k[k >= LOCAL]
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(h), t) for t in arrow.types[:3]] + [pa.array(h.view("<i8")), pa.array(k.astype("<i4"))], schema=arrow)
 
         for doc, fp, own in _sets(batches, n):
             for x, v in zip(rows, (doc, len(own), fp), strict=True):
@@ -122,7 +115,7 @@ def _shingled(docs: DataFrame, id_col: str, text_col: str, n: int, bits: int) ->
             if len(own) and met.new(fp):  # copies do not make their n-grams frequent
                 held.append(own)
                 size += len(own)
-            if size >= 2_000_000 or len(rows[0]) >= 50_000:
+            if size >= CHUNK or len(rows[0]) >= 50_000:
                 yield from out()
                 rows, held, size = ([], [], []), [], 0
         yield from out()
@@ -130,229 +123,318 @@ def _shingled(docs: DataFrame, id_col: str, text_col: str, n: int, bits: int) ->
     return _texts(docs, id_col, text_col).mapInArrow(run, fields)
 
 
-def _levels(shingled: DataFrame, bits: int) -> np.ndarray:
-    """For each cell, four bits that say how often sets fall into it: 0 for once, then one more a doubling. Of fixed
-    size, whatever the input; an upper estimate of how many sets hold an n-gram."""
-    width = (1 << bits) // CELL_PARTS
+def _six(h: np.ndarray) -> bytes:
+    """The low six bytes of each number."""
+    return np.ascontiguousarray(h.astype("<u8").view("u1").reshape(-1, 8)[:, :6]).tobytes()
 
-    def add(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        n = np.zeros(width, "<u4")
-        for x in rows["cells"]:
-            n += np.bincount(_unsqueeze(x), minlength=width).astype("<u4")
-        level = np.minimum(15, np.ceil(np.log2(np.maximum(n, 1)))).astype("u1")
-        return pd.DataFrame([(key[0], (level[::2] | level[1::2] << 4).tobytes())], columns=["part", "levels"])
 
-    out = np.zeros((1 << bits) // 2, "u1")
-    for x in shingled.where("part IS NOT NULL").select("part", "cells").groupBy("part").applyInPandas(add, "part int, levels binary").toLocalIterator():
-        out[x["part"] * width // 2 : (x["part"] + 1) * width // 2] = np.frombuffer(x["levels"], "u1")
-    return out
+def _from_six(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), "u1")
+    out[:, :6] = np.frombuffer(data, "u1").reshape(-1, 6)
+    return out.view("<u8").ravel()
 
 
-def level_of(hashes: np.ndarray, levels: np.ndarray, bits: int) -> np.ndarray:
-    cell = (hashes >> np.uint64(64 - bits)).astype("int64")
-    return (levels[cell >> 1] >> ((cell & 1) << 2).astype("u1")) & 15
+def _runs(key: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, lengths) of the runs of equal keys, which also end at the edges."""
+    new = np.concatenate([[True], key[1:] != key[:-1]])
+    new[edges[edges < len(key)]] = True
+    first = np.flatnonzero(new)
+    return first, np.diff(np.append(first, len(key)))
 
 
-def _ordered(own: np.ndarray, levels: np.ndarray, bits: int) -> np.ndarray:
-    """A set in the global order: by level, then hash."""
-    return own[np.argsort(level_of(own, levels, bits), kind="stable")]
+def _dealt(part: np.ndarray, parts: int, s: np.ndarray, n: np.ndarray, data: np.ndarray, code) -> Iterator[tuple]:
+    """(part, s, n, k, data) of n-grams in the order of their sets: sets are named once a part, with the number k of their n-grams."""
+    by = np.argsort(part, kind="stable")
+    part, s, n, data = part[by], s[by], n[by], data[by]
+    edges = np.searchsorted(part, np.arange(parts + 1))
+    first, k = _runs(s, edges)
+    runs = np.searchsorted(first, edges)
+    for p in np.flatnonzero(edges[1:] > edges[:-1]).tolist():
+        a, z = runs[p], runs[p + 1]
+        own = first[a:z]
+        yield p, s[own].tobytes(), n[own].tobytes(), k[a:z].astype("<u4").tobytes(), code(data[edges[p] : edges[p + 1]])
 
 
-def _postings(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int, bits: int, levels, hot: int, parts: int) -> DataFrame:
-    """(part, hashes, sets, places): of each set, its first elements in the global order. A place is that in the set,
-    up to 32,767, with the bit above set if it is in the set's head.
+BLOBS = "part int, s binary, n binary, k binary, data binary"
+_BLOBS = pa.schema([("part", pa.int32()), ("s", pa.binary()), ("n", pa.binary()), ("k", pa.binary()), ("data", pa.binary())])
 
-    Two sets that link have an element in common among the first s - ceil(percent * s) + 1 of either, s being its
-    size; and the first one in common is in the smaller set's head, where the elements from there on can still make up
-    what two sets of its size need to share. Elements go to parts by hash; those held by very many sets are spread over all
-    parts by the set as well.
-    """
+
+def _all(rows: pd.DataFrame, column: str, kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(rows[column]), kind)
+
+
+def _postings(docs: DataFrame, id_col: str, text_col: str, n: int, parts: int, hot: Broadcast) -> DataFrame:
+    """All n-grams of all sets, dealt to `parts` ranges of hashes; those of hot n-grams by set to as many parts again."""
+    bits = parts.bit_length() - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cols, held, met = ([], [], []), 0, _Met()
+        held, names, size, met, known = [], [], 0, _Met(), hot.value
 
         def out() -> pa.RecordBatch:
-            h, s, place = map(np.concatenate, cols)
-            part = _part(h, s, levels.value, bits, hot, parts)
-            by = np.argsort(part, kind="stable")
-            h, s, place, edges = h[by], s[by], place[by], np.searchsorted(part[by], np.arange(parts + 1))
-            rows = [(p, h[a:z].tobytes(), s[a:z].tobytes(), place[a:z].tobytes()) for p, (a, z) in enumerate(zip(edges, edges[1:], strict=False)) if z > a]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["part", "hashes", "sets", "places"])
+            h, sizes = np.concatenate(held), np.array([len(x) for x in held])
+            s, k = np.repeat(np.array(names, "<i8"), sizes), np.repeat(sizes.astype("<u4"), sizes)
+            wide = known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h if len(known) else np.zeros(len(h), bool)
+            rows = []
+            x = h[~wide]
+            part = (x >> np.uint64(64 - bits)).astype("int32") if bits else np.zeros(len(x), "int32")
+            rows += _dealt(part, parts, s[~wide], k[~wide], x >> np.uint64(16 - bits) if bits < 16 else x, _six)
+            if wide.any():
+                part = (scramble(s[wide].view("<u8")) % np.uint64(parts)).astype("int32")
+                rows += [(p + parts, *rest) for p, *rest in _dealt(part, parts, s[wide], k[wide], h[wide], np.ndarray.tobytes)]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _BLOBS.types, strict=True)], schema=_BLOBS)
 
         for _, fp, own in _sets(batches, n):
-            if not len(own) or not met.new(fp):
-                continue
-            size = len(own)
-            first = _ordered(own, levels.value, bits)[: size - -(-percent * size // 100) + 1]
-            head = size - -(-2 * percent * size // (100 + percent))  # the last place that can be the first in common
-            at = np.arange(len(first))
-            place = np.minimum(at, 0x7FFF).astype("<u2") | np.where(at <= head, 0x8000, 0).astype("<u2")
-            for c, x in zip(cols, (first, np.full(len(first), fp, "<i8"), place), strict=True):
-                c.append(x)
-            held += len(first)
-            if held >= 1_000_000:
-                yield out()
-                cols, held = ([], [], []), 0
+            if len(own) and met.new(fp):
+                held.append(own)
+                names.append(fp)
+                size += len(own)
+                if size >= CHUNK:
+                    yield out()
+                    held, names, size = [], [], 0
         if held:
             yield out()
 
-    return _texts(docs, id_col, text_col).mapInArrow(run, "part int, hashes binary, sets binary, places binary")
-
+    return _texts(docs, id_col, text_col).mapInArrow(run, BLOBS)
 
-def _part(h: np.ndarray, s: np.ndarray, levels: np.ndarray, bits: int, hot: int, parts: int) -> np.ndarray:
-    spread = np.where(level_of(h, levels, bits) >= hot, scramble(s.view("<u8")), np.uint64(0))
-    return (scramble(h + spread) % np.uint64(parts)).astype("int32")
 
+def _shared(postings: DataFrame, parts: int) -> DataFrame:
+    """The n-grams that at least two sets hold, as numbers in the global order, dealt to `parts` ranges of sets."""
+    bits = parts.bit_length() - 1
 
-def _shared(postings: DataFrame, levels, bits: int, hot: int) -> DataFrame:
-    """(h, s, head, p): postings whose hash is met in several sets, in the head of one of them; of spread hashes all."""
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        k = _all(rows, "k", "<u4")
+        s, n = np.repeat(_all(rows, "s", "<i8"), k), np.repeat(_all(rows, "n", "<u4"), k)
+        if key[0] >= parts:
+            h = (_all(rows, "data", "<u8") >> np.uint64(64 - BITS)) + np.uint64(HOT_LEVEL << BITS)
+        else:
+            h = _from_six(b"".join(rows["data"]))
+            del rows
+            by = np.argsort(h)
+            h = h[by]
+            same = h[1:] == h[:-1]
+            some = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+            h, by = h[some], by[some]
+            s, n = s[by], n[by]
+            by = np.lexsort((s, h))
+            h, s, n = h[by], s[by], n[by]
+            new = np.ones(len(h), bool)  # a set that several tasks met is one
+            new[1:] = (h[1:] != h[:-1]) | (s[1:] != s[:-1])
+            h, s, n = h[new], s[new], n[new]
+            _, k = _runs(h, np.zeros(0, "int64"))
+            k = np.repeat(k, k)
+            h, s, n, k = h[k > 1], s[k > 1], n[k > 1], k[k > 1]
+            level = np.minimum(HOT_LEVEL - 1, np.ceil(np.log2(np.maximum(k, 2)))).astype("<u8")
+            # the hash again: the range's bits and six bytes below them, cut or filled to BITS
+            low = BITS - bits - 48
+            h = h << np.uint64(low) if low >= 0 else h >> np.uint64(-low)
+            h = h + np.uint64(int(key[0]) << (BITS - bits)) + (level << np.uint64(BITS))
+        by = np.argsort(s, kind="stable")
+        s, n, h = s[by], n[by], h[by]
+        out = list(_dealt((scramble(s.view("<u8")) % np.uint64(parts)).astype("int32"), parts, s, n, h, np.ndarray.tobytes)) if len(s) else []
+        return pd.DataFrame(out, columns=_BLOBS.names)
+
+    return postings.groupBy("part").applyInPandas(run, BLOBS)
+
+
+def _reduced(shared: DataFrame, percent: int) -> DataFrame:
+    """(s, n, r, own, cls): sets of n n-grams as the r of them that other sets hold too, in the global order. What two
+    sets have in common lies in these; a set with fewer of them than it must share with another is left out. cls is
+    the same for the same n-grams."""
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        h = np.concatenate([np.frombuffer(x, "<u8") for x in rows["hashes"]])
-        s = np.concatenate([np.frombuffer(x, "<i8") for x in rows["sets"]])
-        place = np.concatenate([np.frombuffer(x, "<u2") for x in rows["places"]])
-        by = np.argsort(h, kind="stable")
-        h, s, place = h[by], s[by], place[by]
-        same = h[1:] == h[:-1]
-        wide = level_of(h, levels.value, bits) >= hot
-        keep = np.flatnonzero(np.concatenate([[False], same]) | np.concatenate([same, [False]]) | wide)
-        h, s, place, wide = h[keep], s[keep], place[keep], wide[keep]
-        by = np.lexsort((s, h))
-        h, s, place, wide = h[by], s[by], place[by], wide[by]
-        new = np.concatenate([[True], (h[1:] != h[:-1]) | (s[1:] != s[:-1])])[: len(h)]  # a set met in several tasks
-        h, s, place, wide = h[new], s[new], place[new], wide[new]
-        head = place >= 0x8000
-        if len(h):
-            first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-            size = np.diff(np.append(first, len(h)))
-            some = np.repeat((size > 1) & (np.add.reduceat(head.astype("int64"), first) > 0), size) | wide
-            h, s, head, place = h[some], s[some], head[some], place[some]
-        return pd.DataFrame({"h": h.view("<i8"), "s": s, "head": head, "p": (place & 0x7FFF).astype("<i4")})
-
-    return postings.groupBy("part").applyInPandas(run, "h long, s long, head boolean, p int")
+        k = _all(rows, "k", "<u4")
+        s, n, h = np.repeat(_all(rows, "s", "<i8"), k), np.repeat(_all(rows, "n", "<u4"), k), _all(rows, "data", "<u8")
+        del rows
+        by = np.lexsort((h, s))
+        s, n, h = s[by], n[by], h[by]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (s[1:] != s[:-1])
+        s, n, h = s[new], n[new], h[new]
+        first, r = _runs(s, np.zeros(0, "int64"))
+        found = []
+        for a, z in zip(first.tolist(), r.tolist(), strict=True):
+            if 100 * z >= percent * int(n[a]):
+                own = h[a : a + z].tobytes()
+                found.append((int(s[a]), int(n[a]), z, own, xxhash.xxh3_64_intdigest(own) - (1 << 63)))
+        return pd.DataFrame(found, columns=["s", "n", "r", "own", "cls"])
+
+    return shared.groupBy("part").applyInPandas(run, "s long, n int, r int, own binary, cls long")
+
+
+def _prefixes(reduced: DataFrame, percent: int) -> DataFrame:
+    """(h, s, n, left, head): of each set, its first n-grams in the global order, and how many are left from each on.
+
+    Two sets that link have an n-gram in common among the first n - ceil(percent * n) + 1 of either, n being its
+    size; and the first one in common is in the smaller set's head, where the n-grams from there on can still make up
+    what two sets of its size need to share. n-grams that no other set holds come first of all.
+    """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                cols = ([], [], [], [], [])
+                for x in batch.slice(at, 200).to_pylist():
+                    own, size, r = np.frombuffer(x["own"], "<i8"), x["n"], x["r"]
+                    some = r - -(-percent * size // 100) + 1
+                    left = r - np.arange(some)
+                    for c, v in zip(cols, (own[:some], np.full(some, x["s"]), np.full(some, size), left, left >= -(-2 * percent * size // (100 + percent))), strict=True):
+                        c.append(v)
+                if cols[0]:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()), strict=True)], names=["h", "s", "n", "left", "head"])
+
+    return reduced.select("s", "n", "r", "own").mapInArrow(run, "h long, s long, n int, left int, head boolean")
+
+
+class Trie:
+    """Sets in the global order as the paths of a prefix tree: sorted, they are its leaves from left to right, and
+    what neighbours have in common is the path that they share."""
+
+    def __init__(self, sets: list[np.ndarray], sizes: np.ndarray):
+        self.order = sorted(range(len(sets)), key=lambda i: sets[i].astype(">u8").tobytes())
+        self.sets = [sets[i] for i in self.order]
+        self.sizes, self.lengths = sizes[self.order], np.array([len(x) for x in self.sets])
+        self.common = np.zeros(len(sets), "int64")  # how much of the path a leaf shares with the one before
+        for i in range(1, len(sets)):
+            a, b = self.sets[i - 1], self.sets[i]
+            m = min(len(a), len(b))
+            differ = a[:m] != b[:m]
+            self.common[i] = differ.argmax() if m and differ.any() else m
+
+    def linked(self, probe: np.ndarray, size: int, percent: int, among: np.ndarray) -> list[int]:
+        """The leaves, of those marked in `among`, whose sets link with the probe.
+
+        A path's overlap with the probe is summed from the root and kept, so a leaf takes over the sums of the path that
+        it shares. Where the overlap so far and what is left on both sides cannot reach what a leaf needs, it is left;
+        below a node, that holds for a whole subtree at once.
+        """
+        need = -(-percent * (size + self.sizes) // (100 + percent))
+        open_ = among & (need <= np.minimum(self.lengths, len(probe)))
+        found, i, depth, sums = [], 0, 0, np.zeros(1, "int64")  # overlaps of the path walked so far, by depth
+        path = np.zeros(0, "<u8")
+        while True:
+            ahead = open_[i:].argmax() if i < len(open_) else 0
+            if i >= len(open_) or not open_[i + ahead]:
+                return found
+            if ahead:
+                depth = min(depth, int(self.common[i + 1 : i + ahead + 1].min()))
+            i += int(ahead)
+            own, b = self.sets[i], int(self.lengths[i])
+            sums, path = sums[: depth + 1], own[:depth]
+            parts, overlap, wants = [sums], int(sums[depth]), int(need[i])
+            while depth < b:
+                left = len(probe) - int(np.searchsorted(probe, own[depth]))
+                if overlap + min(b - depth, left) < wants:
+                    break
+                step = own[depth : depth + 64]
+                at = np.minimum(np.searchsorted(probe, step), len(probe) - 1)
+                got = overlap + np.cumsum(probe[at] == step)
+                parts.append(got)
+                overlap, depth = int(got[-1]), depth + len(step)
+            sums, path = np.concatenate(parts), own[:depth]
+            if depth == b and overlap >= wants:
+                found.append(self.order[i])
+            elif depth < b:
+                # the subtree of the node where the walk ended: leaves that share the path up to here
+                below = self.common[i + 1 :] < depth
+                z = i + 1 + (int(below.argmax()) if below.any() else len(below))
+                reach = overlap + np.minimum(self.lengths[i + 1 : z] - depth, len(probe) - int(np.searchsorted(probe, path[-1], "right")) if depth else len(probe))
+                open_[i + 1 : z] &= reach >= need[i + 1 : z]
+            i += 1
+            if i < len(open_):
+                depth = min(depth, int(self.common[i]))
 
-def trie_join(probe: np.ndarray, sets: list[np.ndarray], percent: int) -> np.ndarray:
-    """Which of the sets link with the probe; all are in the global order.
 
-    Sorted, the sets are the paths of a trie in depth-first order. A path's overlap with the probe is summed from the
-    root and kept, so a set takes over the sums of the part it shares with the one before. A path is left as soon as
-    the overlap so far and the elements that remain cannot reach what is needed; a set that branches off below that
-    place is left with it, unless its own length asks for less.
-    """
-    have, a = np.sort(probe), len(probe)
-    order = sorted(range(len(sets)), key=lambda i: sets[i].tobytes())
+def trie_join(probe: np.ndarray, sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which of the sets link with the probe; all are whole sets in the global order."""
     linked = np.zeros(len(sets), bool)
-    path, sums = np.zeros(0, "<u8"), np.zeros(1, "int64")  # the path walked so far and its overlaps, by depth
-    for i in order:
-        own = sets[i]
-        b = len(own)
-        need = -(-percent * (a + b) // (100 + percent))
-        if not b or need > min(a, b):
-            continue
-        m = min(len(path), b)
-        differ = np.flatnonzero(path[:m] != own[:m])
-        depth = int(differ[0]) if len(differ) else m
-        sums, path = sums[: depth + 1], own[:depth]
-        parts, overlap = [sums], int(sums[depth])
-        while depth < b and overlap + min(b - depth, a - overlap) >= need:
-            step = own[depth : depth + 64]
-            at = np.searchsorted(have, step)
-            got = overlap + np.cumsum(have[np.minimum(at, a - 1)] == step)
-            parts.append(got)
-            overlap, depth = int(got[-1]), depth + len(step)
-        sums, path = np.concatenate(parts), own[:depth]
-        linked[i] = depth == b and overlap >= need
+    linked[Trie(sets, np.array([len(x) for x in sets])).linked(probe, len(probe), percent, np.ones(len(sets), bool))] = True
     return linked
 
 
-def _owner(fp: int, doc, bits: int) -> int:
-    """The bit of a document that hands out its set."""
-    return (xxhash.xxh3_64_intdigest(f"{doc}".encode(), seed=fp % (1 << 64)) * MIX[0] % (1 << 64)) >> (64 - bits)
+def trie_links(sets: list[np.ndarray], sizes: np.ndarray, comps: list, probes: list[int], percent: int) -> list[tuple[int, int]]:
+    """Links of the probes with the sets, by place, that join the components which the sets are in; links inside a
+    component are passed over."""
+    trie, found = Trie(sets, sizes), []
+    ids = {c: k for k, c in enumerate(dict.fromkeys(comps))}
+    comp = np.array([ids[c] for c in comps])
+    at = np.empty(len(sets), "int64")
+    at[trie.order] = np.arange(len(sets))
+    leaf = comp[trie.order]  # component of each leaf
+    for p in probes:
+        among = leaf != leaf[at[p]]
+        if not among.any():
+            continue
+        for q in trie.linked(sets[p], int(sizes[p]), percent, among):
+            if leaf[at[q]] != leaf[at[p]]:
+                found.append((p, q))
+                leaf[leaf == leaf[at[q]]] = leaf[at[p]]
+    return found
 
 
-def _bits(owners: DataFrame, bits: int) -> np.ndarray:
-    """2 ** bits bits, set for the documents (fp, id) that hand out sets: of fixed size, and none that is wanted is
-    ever missing."""
+def _joined(groups: DataFrame, reduced: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of groups (g, block, s, c, probe): each is a trie, walked by its probes; c is the set's component."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = np.zeros(1 << bits, bool)
-        for batch in batches:
-            for fp, doc in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                got[_owner(fp, doc, bits)] = True
-        got = np.packbits(got, bitorder="little")
-        rows = [(a, got[a : a + 65_536].tobytes()) for a in range(0, len(got), 65_536) if got[a : a + 65_536].any()]
-        yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], names=["a", "x"])
-
-    def either(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([(key[0], reduce(np.bitwise_or, [np.frombuffer(x, "u1") for x in rows["x"]]).tobytes())], columns=["a", "x"])
-
-    out = np.zeros((1 << bits) // 8, "u1")
-    for r in owners.mapInArrow(run, "a int, x binary").groupBy("a").applyInPandas(either, "a int, x binary").collect():
-        x = np.frombuffer(r["x"], "u1")
-        out[r["a"] : r["a"] + len(x)] = x
-    return out
+    def join(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["n", "s"]).drop_duplicates("s")
+        probes = np.flatnonzero(rows["probe"].to_numpy()).tolist()
+        s = rows["s"].to_numpy()
+        found = trie_links([np.frombuffer(x, "<u8") for x in rows["own"]], rows["n"].to_numpy().astype("int64"), rows["c"].tolist(), probes, percent) if probes and len(rows) > 1 else []
+        return pd.DataFrame({"a": s[[p for p, _ in found]], "b": s[[q for _, q in found]]}, dtype="int64")
 
+    own = groups.groupBy("g", "block", "s", "c").agg(F.max("probe").alias("probe")).join(reduced.select("s", "n", "own"), "s")
+    return stage(own.groupBy("g", "block").applyInPandas(join, "a long, b long"), "links")
 
-def _fetched(docs: DataFrame, owners: DataFrame, id_col: str, text_col: str, n: int, bits: int, levels) -> DataFrame:
-    """(s, own): the sets of the owners (fp, id), in the global order. Few others can pass by a shared bit."""
-    wide = max(18, bits - 4)
-    wanted = docs.sparkSession.sparkContext.broadcast(_bits(owners, wide))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, held = ([], []), 0
+def _blocks(elements: Column) -> Column:
+    return F.greatest(F.ceil(elements / TRIE).cast("int"), F.lit(1))
 
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.binary())], names=["s", "own"])
 
-        for doc, fp, own in _sets(batches, n):
-            at = _owner(fp, doc, wide)
-            if len(own) and wanted.value[at >> 3] >> (at & 7) & 1:
-                rows[0].append(fp)
-                rows[1].append(_ordered(own, levels.value, bits).tobytes())
-                held += len(own)
-                if held > 500_000:
-                    yield out()
-                    rows, held = ([], []), 0
-        if held:
-            yield out()
+def _block(s: Column, blocks: Column) -> Column:
+    return F.pmod(F.xxhash64(s, F.lit(5)), blocks).cast("int")
 
-    return _texts(docs, id_col, text_col).mapInArrow(run, "s long, own binary")
 
+def _by_first(lists: DataFrame) -> DataFrame:
+    """Groups of sets by their first n-gram that is in a list. A large group is dealt into blocks, each with the
+    group's smallest set."""
+    home = lists.groupBy("s").agg(F.min("h").alias("g"), F.max("n").alias("n"))
+    size = home.groupBy("g").agg(_blocks(F.sum("n")).alias("blocks"), F.min(F.struct("n", "s"))["s"].alias("least"), F.count("*").alias("k")).where("k > 1")
+    home = home.join(size, "g")
+    own = home.select("g", _block(F.col("s"), F.col("blocks")).alias("block"), "s")
+    hub = size.select("g", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("least").alias("s"))
+    return own.union(hub).distinct().select("g", "block", "s", F.col("s").alias("c"), F.lit(True).alias("probe"))
 
-def _verified(pairs: DataFrame, sizes: DataFrame, sets: DataFrame, percent: int, elements: int = 200_000) -> DataFrame:
-    """The pairs of sets (a, b) that link, of candidates (a, b). A probe's partners are split into groups of about `elements` elements, each a trie of its own; sets
-    are joined once, to all groups where they are probe or member."""
-    size = lambda x: sizes.select(F.col("fp").alias(x), F.col("n").alias(f"n{x}"))
-    pairs = pairs.join(size("a"), "a").join(size("b"), "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
-    pairs = stage(pairs.select("a", "b", "nb").distinct(), "pairs")
-    groups = pairs.groupBy("a").agg(F.ceil(F.sum("nb") / elements).cast("int").alias("groups"))
-    members = pairs.join(groups, "a").select(F.col("b").alias("s"), "a", F.pmod(F.xxhash64("b"), F.col("groups")).cast("int").alias("g"), F.lit(False).alias("probe"))
-    probes = groups.select(F.col("a").alias("s"), "a", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("g"), F.lit(True).alias("probe"))
 
-    def join(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        probe = rows[rows["probe"]]
-        rest = rows[~rows["probe"]]
-        if not len(probe) or not len(rest):
-            return pd.DataFrame({"a": [], "b": []}).astype("int64")
-        linked = trie_join(np.frombuffer(probe["own"].iloc[0], "<u8"), [np.frombuffer(x, "<u8") for x in rest["own"]], percent)
-        return pd.DataFrame({"a": key[0], "b": rest["s"][linked]})
-
-    own = members.unionByName(probes).join(sets, "s")
-    return stage(own.groupBy("a", "g").applyInPandas(join, "a long, b long"), "links")
-
-
-def _stars(shared: DataFrame, turn: int, reach: str) -> DataFrame:
-    """Candidates (a, b) in different components c: each set with at most PIVOTS of the drawn sets of its elements,
+def _stars(lists: DataFrame, reach: str) -> DataFrame:
+    """Groups of a drawn set and sets in other components: each set with at most PIVOTS of the drawn ones of its lists,
     those with which it shares most."""
-    pivot = lambda k: F.min(F.when(F.col("head"), F.struct(F.xxhash64("s", F.lit(turn * PIVOTS + k)).alias("o"), F.col("s").alias("a"), F.col("n").alias("na"), F.col("p").alias("pa"), F.col("c").alias("ca"))))
+    pivot = lambda k: F.min(F.when(F.col("head"), F.struct(F.xxhash64("s", F.lit(k)).alias("o"), F.col("s").alias("a"), F.col("n").alias("na"), F.col("left").alias("la"), F.col("c").alias("ca"))))
     drawn = F.array_distinct(F.array(*[pivot(k).dropFields("o") for k in range(PIVOTS)]))
-    pivots = shared.groupBy("h").agg(F.min("c").alias("x"), F.max("c").alias("z"), drawn.alias("pivots")).where("x < z AND pivots[0] IS NOT NULL").select("h", "pivots")
-    pairs = shared.select("h", F.col("s").alias("b"), F.col("n").alias("nb"), F.col("p").alias("pb"), F.col("c").alias("cb")).join(pivots, "h")
-    pairs = pairs.select("b", "nb", "pb", "cb", F.explode("pivots").alias("v")).select("b", "nb", "pb", "cb", "v.*").where(f"ca <> cb AND {reach}")
+    pivots = lists.groupBy("h").agg(drawn.alias("pivots")).where("pivots[0] IS NOT NULL")
+    pairs = lists.select("h", "w", F.col("s").alias("b"), F.col("n").alias("nb"), F.col("left").alias("lb"), F.col("c").alias("cb")).join(pivots, "h")
+    pairs = pairs.select("w", "b", "nb", "lb", "cb", F.explode("pivots").alias("v")).select("w", "b", "nb", "lb", "cb", "v.*").where(f"ca <> cb AND {reach}")
     nearest = Window.partitionBy("b").orderBy(F.desc("k"), "a")
-    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("k")).withColumn("i", F.row_number().over(nearest)).where(F.col("i") <= PIVOTS)
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = pairs.groupBy("a", "ca", "b", "cb", "nb").agg(F.sum("w").alias("k")).withColumn("i", F.row_number().over(nearest)).where(F.col("i") <= PIVOTS)
+    size = pairs.groupBy("a", "ca").agg(_blocks(F.sum("nb")).alias("blocks"))
+    own = pairs.join(size.drop("ca"), "a").select(F.col("a").alias("g"), _block(F.col("b"), F.col("blocks")).alias("block"), F.col("b").alias("s"), F.col("cb").alias("c"), F.lit(False).alias("probe"))
+    return own.union(size.select("a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)), F.col("a").alias("s"), "ca", F.lit(True)))
+
+
+def _whole(lists: DataFrame) -> DataFrame:
+    """Groups of all sets of each list, dealt into blocks. The sets of its largest component are in one block each; the
+    others are in all blocks, as probes, so that any two of different components meet."""
+    parts = lists.groupBy("h", "c").agg(F.count("*").alias("k"), F.sum("n").alias("e"))
+    size = parts.groupBy("h").agg(F.max(F.struct("k", "c")).alias("most"), F.sum("e").alias("e")).select("h", F.col("most.c").alias("main"), _blocks(F.col("e")).alias("blocks"))
+    at = lists.select("h", "s", "c").join(size, "h")
+    block = F.when(F.col("c") == F.col("main"), F.array(_block(F.col("s"), F.col("blocks")))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
+    return at.select(F.col("h").alias("g"), F.explode(block).alias("block"), "s", "c", (F.col("c") != F.col("main")).alias("probe"))
+
+
+def _apart(lists: DataFrame, comps: DataFrame) -> DataFrame:
+    """The lists whose sets are in several components, each set with its component."""
+    own = lists.join(comps.select(F.col("node").alias("s"), "comp"), "s", "left").withColumn("c", F.coalesce("comp", "s")).drop("comp")
+    own = stage(own, "in_comp")
+    mixed = own.groupBy("h").agg(F.min("c").alias("x"), F.max("c").alias("z"), F.max("head").alias("some")).where("x < z AND some").select("h")
+    return own.join(mixed, "h", "left_semi")
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -360,57 +442,61 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75, id_col: str
 
     Words are runs without white space, A-Z in lower case. Documents with equal sets are one set; only sets are
     compared. Steps:
-    1. fingerprints of all sets, and fixed-size counts of n-grams by hash, which give the global order (rare first);
-    2. the first elements of each set in that order are shuffled; sets that share one are candidates. First each with
-       at most PIVOTS others, those drawn ones with which it shares most: linear, however large a group of near copies is;
-    3. candidates are verified exactly by a trie join in groups of bounded size, and joined to components;
-    4. for elements whose sets are still in different components, all pairs across components are verified too.
-    A link between two sets is thereby found directly, or both are in one component already: none is lost. What the
-    counts tell decides only how many candidates there are.
+    1. fingerprints of all sets;
+    2. all n-grams are shuffled by hash and counted exactly. From here on a set is the n-grams that other sets hold too,
+       ordered by count (rare first) and hash, and its size; n-grams that it holds alone come before them. Sets that
+       cannot share enough are dropped;
+    3. of sets that are equal now, those that link with the smallest are joined to it: what links with them links with it;
+    4. the first n-grams of each set make lists of the sets that hold them; lists of the same sets are one;
+    5. prefix trees find the links: first over sets with the same first n-gram; then, in lists whose sets are still in
+       different components, between each set and a few drawn ones; then over whole lists still so. Trees are of
+       bounded size: in a long list, sets of its largest component are dealt out, the others meet all of them.
+    A link between two sets is thereby found, or both are in one component already: none is lost.
 
     Null, empty and wordless texts have an empty set and link with nothing. Rows that repeat an id are one document:
     their sets count as linked. Rows with a null id are left out of all links and have a null component. Very long
-    texts are taken whole. Other columns play no part. n-grams and sets are told apart by 64-bit hashes.
+    texts are taken whole. An empty table gives an empty result. Other columns play no part, whatever their names.
+    Sets are told apart by 64-bit hashes, n-grams by the first bits of theirs, 48 and those of the range of hashes.
+
+    n-grams held by a share HOT of all sets and more would make one range large. They are found beforehand, from counts
+    by chunk, and go by set, without being counted; there are at most 1 / HOT times the mean size of a set of them.
 
     Returns id, n_shingles, component_id (the smallest id of the component) for every row.
     """
     spark = docs.sparkSession
-    rows = docs.count()
-    bits = int(power_of_two(rows * 256, 1 << 18, 1 << 27)).bit_length() - 1
-    parts = power_of_two(docs.rdd.getNumPartitions(), 32, 4096)
-    hot = min(15, int(np.ceil(np.log2(max(256, rows / 256)))))
-    shingled = stage(_shingled(docs, id_col, text_col, n, bits), "shingled")
-    levels = spark.sparkContext.broadcast(_levels(shingled, bits))
-    found = shingled.where("part IS NULL").select("id", "n", "fp")
-    sizes = found.where("n > 0").groupBy("fp").agg(F.max("n").alias("n"), F.min("id").alias("id"))
+    prints = stage(_prints(docs, id_col, text_col, n), "prints")
+    found = prints.where("n IS NOT NULL").select("id", "n", "fp")
+    sets, grams = found.where("n > 0").agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    hot = prints.where("k IS NOT NULL").groupBy("h").agg(F.sum("k").alias("k")).where(F.col("k") >= max(LEAST_HOT, sets * HOT)).select("h")
+    hot = spark.sparkContext.broadcast(np.sort(np.array([x["h"] for x in hot.collect()], "<i8").view("<u8")))
+    parts = power_of_two(grams / RANGE, 16, 1 << 16)
     known = docs.where(F.col(id_col).isNotNull())
-    shared = _shared(_postings(known, id_col, text_col, n, percent, bits, levels, hot, parts), levels, bits, hot)
-    shared = stage(shared.join(sizes.select(F.col("fp").alias("s"), "n"), "s").select("h", "s", "head", "p", "n"), "shared")
-    # Two sets whose first common element is at these places can share no more than what follows it in either.
-    reach = f"{100 + percent}L * least(na - pa, nb - pb) >= {percent}L * (na + nb)"
-    # Spread hashes come together here: only bounded summaries of them move. What is left is held by several sets.
-    least = shared.groupBy("h").agg(F.min("s").alias("x"), F.max("s").alias("z"), F.max("head").alias("some")).where("x < z AND some")
-    stars = _stars(shared.withColumn("c", F.col("s")), 0, reach)
-    wanted = shared.join(least.select("h"), "h", "left_semi").select(F.col("s").alias("fp")).distinct()
-    sets = stage(_fetched(known, sizes.join(wanted, "fp").select("fp", "id"), id_col, text_col, n, bits, levels), "sets")
-    links = _verified(stars, sizes.select("fp", "n"), sets, percent)
+    reduced = stage(_reduced(_shared(_postings(known, id_col, text_col, n, parts, hot), parts), percent), "reduced")
+
+    least = reduced.groupBy("cls").agg(F.min(F.struct("n", "s")).alias("m")).select("cls", F.col("m.n").alias("na"), F.col("m.s").alias("a"))
+    equal = reduced.select("s", "n", "r", "cls").join(least, "cls").where(f"s <> a AND {100 + percent}L * r >= {percent}L * (n + na)")
+    equal = stage(equal.select("a", F.col("s").alias("b")), "equal")
+    # Two sets whose first common n-gram is at these places can share no more than what is left from there on in either.
+    reach = f"{100 + percent}L * least(la, lb) >= {percent}L * (na + nb)"
+    first = _prefixes(reduced, percent).join(equal.select(F.col("b").alias("s")), "s", "left_anti")
+    same = first.groupBy("h").agg(F.count("*").alias("k"), F.bit_xor(F.xxhash64("s")).alias("who"), F.min("n").alias("smallest"), F.max("head").alias("some")).where("k > 1 AND some")
+    same = same.groupBy("k", "who").agg(F.min("h").alias("h"), F.count("*").alias("w"), F.min("smallest").alias("smallest")).drop("k", "who")
+    lists = first.join(same, "h").where(f"{100 + percent}L * left >= {percent}L * (n + smallest)").drop("smallest")
+    lists = stage(lists, "lists")
+
     by_id = found.where("n > 0 AND id IS NOT NULL").groupBy("id").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).where("a < z").drop("z")
-    links = links.union(found.where("n > 0").join(by_id, "id").where("fp > a").select("a", F.col("fp").alias("b")))
-    for turn in range(1, STARS + 1):
+    links = equal.union(found.where("n > 0").join(by_id, "id").where("fp > a").select("a", F.col("fp").alias("b")))
+    links = links.union(_joined(_by_first(lists), reduced, percent))
+    comps = stage(components(links), "comps")
+    apart = stage(_apart(lists, comps), "apart")
+    if not apart.isEmpty():
+        links = links.union(_joined(_stars(apart, reach), reduced, percent))
         comps = stage(components(links), "comps")
-        in_comp = shared.join(comps, shared["s"] == comps["node"], "left").select("h", "s", "p", "n", "head", F.coalesce("comp", "s").alias("c"))
-        in_comp = stage(in_comp, "in_comp")
-        if turn < STARS:
-            # again among what is still apart, with other pivots
-            links = links.union(_verified(_stars(in_comp, turn, reach), sizes.select("fp", "n"), sets, percent))
-    mixed = in_comp.groupBy("h").agg(F.min("c").alias("x"), F.max("c").alias("z"), F.max("head").alias("some")).where("x < z AND some").select("h")
-    mixed = in_comp.join(mixed, "h", "left_semi")
-    left, right = (mixed.select("h", *[F.col(c).alias(f"{c}{x}") for c in ("p", "n", "c", "s")]) for x in "ab")
-    across = left.join(right.withColumnRenamed("h", "h2"), F.expr(f"h = h2 AND ca < cb AND {reach}"))
-    across = across.select(F.col("sa").alias("a"), F.col("sb").alias("b")).distinct()
-    more = _verified(across, sizes.select("fp", "n"), sets, percent)
-    if not more.isEmpty():
-        comps = stage(components(links.union(more)), "comps")
+        apart = stage(_apart(lists, comps), "apart")
+        if not apart.isEmpty():
+            links = links.union(_joined(_whole(apart), reduced, percent))
+            comps = stage(components(links), "comps")
+    unstage(reduced, lists, apart)
     out = found.join(comps, found["fp"] == comps["node"], "left").select("id", "n", F.coalesce("comp", "fp").alias("c"))
     out = stage(out, "members")
     first = out.where("n > 0 AND id IS NOT NULL").groupBy("c").agg(F.min("id").alias("first"))
