@@ -97,41 +97,47 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype("float64").reshape(-1, width)
 
 
-def usable(vectors: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame, int]:
-    """(id, v) of the rows that take part, and their width: finite, not zero, no null, of the commonest length."""
+def usable(vectors: DataFrame, id_col: str, vector_col: str, query: Column) -> tuple[DataFrame, int]:
+    """(id, v, asked) of the rows that take part, and their width: finite, not zero, no null, of the commonest length."""
     v = F.col(vector_col).cast("array<double>")
-    rows = vectors.select(F.col(id_col).alias("id"), v.alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull() & F.forall("v", lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False))) & F.exists("v", lambda x: x != 0))
+    rows = vectors.select(F.col(id_col).alias("id"), v.alias("v"), F.coalesce(query, F.lit(False)).alias("asked")).where(F.col("id").isNotNull() & F.col("v").isNotNull() & F.forall("v", lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False))) & F.exists("v", lambda x: x != 0))
     width = rows.groupBy(F.size("v").alias("w")).count().orderBy(F.desc("count"), "w").first()
     width = width["w"] if width else 0
-    return rows.where(F.size("v") == width), width
+    return rows.where(F.size("v") == width).groupBy("id", "v").agg(F.max("asked").alias("asked")), width
 
 
-def nearest(vectors: DataFrame, query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = 20_000, rows_per_leaf: int = 1024, recall: float = 0.97, calibration: int = 200, block: int = 4096) -> DataFrame:
-    """For each row of `vectors` for which `query` holds, its k nearest other rows by inner product.
+def nearest(vectors: DataFrame, query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = 20_000, rows_per_leaf: int | None = None, recall: float = 0.93, calibration: int = 200, block: int = 4096, report: dict | None = None) -> DataFrame:
+    """For each row of `vectors` for which `query` (over the columns of vectors) holds, its k nearest other rows by
+    inner product.
 
-    The tree is fitted on at most `sample` vectors (smallest hashes) and every vector is put into a leaf. Equal
-    vectors are one vector that carries its k + 1 smallest ids, all that can be among k nearest since ties go to the
-    smaller id; a group of copies of any size is thereby one entry, cut down before the shuffle. For `calibration`
-    query vectors the exact nearest are found by brute force over all vectors, and the number of leaves that a
-    search visits is widened until `recall` of them are reached. Leaves of more than `block` vectors are split.
+    The tree is fitted on the vectors of smallest hashes, `sample` of them or 16 for each leaf if that is more, and
+    every vector is put into a leaf. A leaf holds about rows_per_leaf vectors; by default that is the root of their
+    number, at least 64, so leaves and their size grow alike. Equal vectors are one vector that carries its k + 1
+    smallest ids, all that can be among k nearest since ties go to the smaller id; a group of copies of any size is
+    thereby one entry, cut down before the shuffle. For `calibration` query vectors the exact nearest are found by
+    brute force over all vectors, and the number of leaves that a search visits is widened until `recall` of them are
+    reached. Leaves of more than `block` vectors are split. `report` gets leaves, visits and that recall.
 
-    Vectors that are null, zero, hold null, NaN or infinite components, have a null id or another length than most
-    take no part. Repeated rows (same id and vector) count once. Fewer candidates than k: all are returned, if the
-    leaves reach them all. An empty table gives an empty result.
+    Ids may be of any type that can be ordered. Vectors that are null, zero, hold null, NaN or infinite components, have
+    a null id or another length than most take no part. Repeated rows (same id and vector) count once. Fewer candidates
+    than k: all are returned, if the leaves reach them all. An empty table gives an empty result. Other columns play no
+    part, whatever their names.
 
     Returns query_id, rank (from 1), id, score.
     """
     spark = vectors.sparkSession
-    rows, width = usable(vectors, id_col, vector_col)
+    rows, width = usable(vectors, id_col, vector_col, query)
+    kind = vectors.schema[id_col].dataType.simpleString()
     out_names = ["query_id", "rank", id_col, "score"]
-    rows = stage(rows.distinct().withColumn("h", F.xxhash64("v")), "vectors")
+    rows = stage(rows.withColumn("h", F.xxhash64("v")), "vectors")
     own = Window.partitionBy("h", "v").orderBy("id")
     entries = rows.withColumn("n", F.row_number().over(own)).where(F.col("n") <= k + 1).groupBy("h", "v").agg(F.array_sort(F.collect_list("id")).alias("ids"))
     entries = stage(entries, "entries")
     n, top = entries.agg(F.count("*"), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))).first()
     if not n:
-        return spark.createDataFrame([], f"query_id long, rank int, {id_col} long, score double")
-    chosen = np.array([x["v"] for x in entries.orderBy("h").select("v").limit(sample).toLocalIterator()], "float64")
+        return spark.createDataFrame([], f"query_id {kind}, rank int, `{id_col}` {kind}, score double")
+    rows_per_leaf = rows_per_leaf or max(64, round(n**0.5))
+    chosen = np.array([x["v"] for x in entries.orderBy("h").select("v").limit(max(sample, 16 * n // rows_per_leaf)).toLocalIterator()], "float64")
     tree = spark.sparkContext.broadcast(grow(chosen, n, top, rows_per_leaf))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,9 +146,11 @@ def nearest(vectors: DataFrame, query: Column, k: int = 20, id_col: str = "vec_i
                 leaf = tree.value.leaf_of(_matrix(batch.column(1), width))
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf, pa.int32())], names=["h", "v", "ids", "leaf"])
 
-    entries = stage(entries.mapInArrow(place, "h long, v array<double>, ids array<long>, leaf int"), "placed")
-    queries = rows.where(query).groupBy("h", "v").agg(F.count("*").alias("n")).drop("n")
-    visits = _calibrated(entries, queries, tree.value, k, width, calibration, recall)
+    entries = stage(entries.mapInArrow(place, f"h long, v array<double>, ids array<{kind}>, leaf int"), "placed")
+    queries = rows.where("asked").groupBy("h", "v").agg(F.count("*").alias("n")).drop("n")
+    visits, reached = _calibrated(entries, queries, tree.value, k, width, calibration, recall)
+    if report is not None:
+        report |= {"leaves": tree.value.leaves, "visits": visits, "recall": reached}
     # one row a leaf: how many blocks it is split into
     blocks = {x["leaf"]: -(-x["count"] // block) for x in entries.groupBy("leaf").count().collect()}
     split = F.broadcast(spark.createDataFrame(sorted(blocks.items()), "leaf int, blocks int"))
@@ -178,19 +186,20 @@ def nearest(vectors: DataFrame, query: Column, k: int = 20, id_col: str = "vec_i
                     found.append((h, [-s_ for s_, _ in best], [i for _, i in best]))
         return pd.DataFrame(found, columns=["h", "s", "ids"])
 
-    found = asked.groupBy("leaf", "block").cogroup(held.groupBy("leaf", "block")).applyInPandas(search, "h long, s array<double>, ids array<long>")
+    found = asked.groupBy("leaf", "block").cogroup(held.groupBy("leaf", "block")).applyInPandas(search, f"h long, s array<double>, ids array<{kind}>")
     pairs = F.transform(F.arrays_zip("s", "ids"), lambda x: F.struct((-x["s"]).alias("d"), x["ids"].alias("i")))
     best = found.groupBy("h").agg(F.slice(F.array_sort(F.flatten(F.collect_list(pairs))), 1, k + 1).alias("best"))
-    asking = rows.where(query).select(F.col("id").alias("query_id"), "h").join(best, "h")
+    asking = rows.where("asked").select(F.col("id").alias("query_id"), "h").join(best, "h")
     others = F.slice(F.filter("best", lambda x: x["i"] != F.col("query_id")), 1, k)
     return asking.select("query_id", F.posexplode(others).alias("pos", "x")).select("query_id", (F.col("pos") + 1).alias("rank"), F.col("x.i").alias("i"), (-F.col("x.d")).alias("score")).toDF(*out_names)
 
 
-def _calibrated(entries: DataFrame, queries: DataFrame, tree: Tree, k: int, width: int, calibration: int, recall: float) -> int:
-    """The least number of leaves to visit that reaches `recall` of the exact nearest vectors of some queries."""
+def _calibrated(entries: DataFrame, queries: DataFrame, tree: Tree, k: int, width: int, calibration: int, recall: float) -> tuple[int, float]:
+    """The least number of leaves to visit that reaches `recall` of the exact nearest vectors of some queries, and the
+    share reached."""
     asked = queries.orderBy("h").limit(calibration).collect()
     if not asked:
-        return 1
+        return 1, 1.0
     x = np.array([q["v"] for q in asked], "float64")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,6 +220,6 @@ def _calibrated(entries: DataFrame, queries: DataFrame, tree: Tree, k: int, widt
     need = 1
     while need < tree.leaves and (ranks < need).mean() < recall:
         need += 1
-    return need
+    return need, float((ranks < need).mean())
 
 

@@ -39,7 +39,7 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most, self.old = Tokenizer.from_file(path), most, {}
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]  # found inside words, too
         self.model, self.parts, self.letters = self.tokenizer.model, {}, byte_letters()
 
     def __missing__(self, word: bytes) -> bytes:
@@ -53,7 +53,7 @@ class WordIds(dict):
         return got
 
     def _ids(self, word: str) -> bytes:
-        if not PLAIN(word):
+        if not PLAIN(word) or any(x in word for x in self.special):
             return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
         out = []
         for part in SPLIT(word.lower()):
@@ -96,70 +96,100 @@ def tokenized_pieces(docs: DataFrame, path: str, length: int = 2048, id_col: str
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, out)
 
 
-def _bins(lengths: np.ndarray, size: int, swap: bool) -> list[list[int]]:
-    """Bins as lists of lengths. Only counts by length are looked at: bit sets of the lengths still unpacked find the
-    longest fit and the best pair in a few machine words."""
-    count = np.bincount(lengths, minlength=size + 1).tolist()
-    have = sum(1 << x for x in range(1, size + 1) if count[x])
-    back = sum(1 << (size - x) for x in range(1, size + 1) if count[x])  # bit size - x: length x is there
-    bins: list[list[int]] = []
+class _Unpacked:
+    """Lengths of unpacked items, as counts: bit sets of the lengths that are there find the longest fit and the best
+    pair in a few machine words."""
+
+    def __init__(self, lengths: list[int], size: int):
+        self.size, self.count, self.have, self.back = size, [0] * (size + 1), 0, 0
+        for x in lengths:
+            self.give(x)
+
+    def take(self, x: int) -> None:
+        self.count[x] -= 1
+        if not self.count[x]:
+            self.have &= ~(1 << x)
+            self.back &= ~(1 << (self.size - x))
 
-    def take(x: int) -> None:
-        nonlocal have, back
-        count[x] -= 1
-        if not count[x]:
-            have &= ~(1 << x)
-            back &= ~(1 << (size - x))
-
-    def give(x: int) -> None:
-        nonlocal have, back
-        count[x] += 1
-        have |= 1 << x
-        back |= 1 << (size - x)
-
-    def pair(most: int, least: int) -> tuple[int, int] | None:
-        """Two unpacked lengths whose sum is as near to most as can be, and at least least."""
+    def give(self, x: int) -> None:
+        self.count[x] += 1
+        self.have |= 1 << x
+        self.back |= 1 << (self.size - x)  # bit size - x: length x is there
+
+    def longest(self, gap: int) -> int:
+        """The longest that fits; none: -1."""
+        return (self.have & ((2 << gap) - 1)).bit_length() - 1
+
+    def pair(self, most: int, least: int) -> tuple[int, int] | None:
+        """Two lengths whose sum is as near to most as can be, and at least least."""
         for want in range(most, least - 1, -1):
             # x is there and want - x is there: bit want - x of have is bit size - want + x of back
             half = (want + 1) // 2
-            both = (have & (back >> (size - want))) >> half
+            both = (self.have & (self.back >> (self.size - want))) >> half
             while both:  # the most even pair: small lengths are kept to fill gaps later
                 low = both & -both
                 x = half + low.bit_length() - 1
-                if x < want and (2 * x != want or count[x] > 1):
+                if x < want and (2 * x != want or self.count[x] > 1):
                     return x, want - x
                 both ^= low
         return None
 
-    while have:
-        own, gap = [], size
-        while gap and (fit := have & ((2 << gap) - 1)):
-            x = fit.bit_length() - 1
-            take(x)
-            own.append(x)
-            gap -= x
-        while swap and gap and have:
-            least = min(own)
-            if not (two := pair(least + gap, least + 1)):
-                break
-            own.remove(least)
-            give(least)
-            for x in two:
-                take(x)
-                own.append(x)
-            gap = size - sum(own)
-        bins.append(own)
+
+def _fill(own: list[int], free: _Unpacked) -> None:
+    gap = free.size - sum(own)
+    while gap and (x := free.longest(gap)) > 0:
+        free.take(x)
+        own.append(x)
+        gap -= x
+
+
+def _greedy(free: _Unpacked) -> list[list[int]]:
+    bins: list[list[int]] = []
+    while free.have:
+        bins.append([])
+        _fill(bins[-1], free)
     return bins
 
 
+def _bins(lengths: list[int], size: int) -> list[list[int]]:
+    """Bins as lists of lengths."""
+    bins = _greedy(_Unpacked(lengths, size))
+    while True:
+        bins.sort(key=sum, reverse=True)
+        lost = len(bins) - sum(map(sum, bins)) // size  # sequences that perfect packing would save, at most one more
+        tail = min(len(bins) - 1, 2 * lost)
+        if lost < 2 or tail < 1:
+            return bins
+        kept = [list(x) for x in bins[:-tail]]
+        free = _Unpacked([x for own in bins[-tail:] for x in own], size)
+        for own in reversed(kept):  # the widest gap first
+            while free.have and (gap := size - sum(own)):
+                _fill(own, free)
+                least = min(own)
+                gap = size - sum(own)
+                if not gap or not (two := free.pair(least + gap, least + 1)):
+                    break
+                own.remove(least)
+                free.give(least)
+                for x in two:
+                    free.take(x)
+                own += two
+        new = kept + _greedy(free)
+        if len(new) >= len(bins):
+            return new if len(new) == len(bins) else bins
+        bins = new
+
+
 def best_two_fit(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Bins of capacity `size` for lengths in [1, size]: the bin of each item, and its offset there.
 
-    A bin is filled greedily with the longest item that still fits. Then its smallest item gives way to two unpacked
-    items that together fit the expanded gap more tightly, as long as that is possible. Swaps can use up the items
-    that long ones would need later: if filling without swaps takes fewer bins, that packing is returned.
+    Bins are filled greedily with the longest item that still fits. Then the emptiest bins, twice as many as perfect
+    packing would save, are unpacked again; in the others, the widest gap first, the smallest item gives way to two
+    unpacked items that together fit the expanded gap more tightly, as long as that is possible; the item that gave
+    way is unpacked now. What stays unpacked is filled into bins again. This is repeated while it takes fewer bins;
+    swaps that would take more are not made.
     """
-    bins = min((_bins(lengths, size, True), _bins(lengths, size, False)), key=len)
+    bins = _bins(lengths.tolist(), size)
     of_length: list[list[int]] = [[] for _ in range(size + 1)]
     for i in range(len(lengths) - 1, -1, -1):
         of_length[lengths[i]].append(i)

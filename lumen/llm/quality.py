@@ -96,17 +96,26 @@ class Model:
         return np.round(got, 6)
 
 
-def fit(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = 4096, vocabulary: int = 6000, dimensions: int = 64, neighbours: int = 24, power: float = 4.0) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = 4096, sample_bytes: int = 64 << 20, vocabulary: int = 6000, dimensions: int = 64, neighbours: int = 24, power: float = 4.0) -> Model:
     """Latent vectors of at most `sample` labelled rows for which `train` (over docs) holds, the ones whose hashed ids are smallest.
 
-    `sample` bounds what the driver collects and what is broadcast. Rows with null label, id or text are left out; a
-    document labelled twice counts by its larger label. Without labelled rows every score is the neutral 0.5.
+    `sample` and `sample_bytes` bound what the driver collects and what is broadcast: rows are taken until either is
+    reached, texts whole. Rows with null label, id or text are left out; a document labelled twice counts by its larger
+    label, one with several texts by the least of them. Without labelled rows, as with empty tables, every score is the
+    neutral 0.5.
     """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).cast("double").alias("__y"))
     # the ids are chosen before the texts are fetched, so that texts are never sorted
     texts = docs.where(train & F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
-    chosen = known.join(texts.select("__id").distinct(), "__id").orderBy(F.xxhash64("__id"), "__id").limit(sample)
-    rows = texts.join(F.broadcast(chosen), "__id").select("__id", "__y", F.col("__text").cast("binary").alias("__text")).toArrow()
+    sizes = texts.groupBy("__id").agg(F.max(F.octet_length("__text")).alias("__size"))
+    chosen, held = [], 0
+    for x in known.join(sizes, "__id").orderBy(F.xxhash64("__id"), "__id").limit(sample).collect():
+        held += x["__size"]
+        if held > sample_bytes and chosen:
+            break
+        chosen.append((x["__id"], x["__y"]))
+    chosen = docs.sparkSession.createDataFrame(chosen, schema(__id=docs.schema[id_col].dataType, __y=DOUBLE))
+    rows = texts.join(F.broadcast(chosen), "__id").groupBy("__id", "__y").agg(F.min("__text").cast("binary").alias("__text")).select("__id", "__y", "__text").toArrow()
     order = np.argsort(np.array(rows.column(0).to_pylist()), kind="stable") if rows.num_rows else []
     y = np.array(rows.column(1).to_pylist(), "float64")[order] if rows.num_rows else np.zeros(0)
     raw = rows.column(2).to_pylist()

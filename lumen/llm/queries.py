@@ -53,7 +53,7 @@ def op6_maxent_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
 def op8_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
