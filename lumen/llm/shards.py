@@ -36,10 +36,10 @@ def byte_shards(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_c
     ranges = power_of_two(n / rows_per_range, 16, 1 << 14)
     bits = ranges.bit_length() - 1
     # at most LARGE * shards groups, the largest first to the stretch with the least of them
-    large = rows.groupBy("k").agg(F.sum("size").alias("b")).where(F.col("b") * (LARGE * shards) > total).collect()
+    large = rows.groupBy("k").agg(F.sum("size").alias("b"), F.count("*").alias("c")).where(F.col("b") * (LARGE * shards) > total).collect()
     held, found = [0] * shards, []
     for x in sorted(large, key=lambda x: (-x["b"], x["k"])):
-        big, stretch = x["b"] * SPLIT > total, held.index(min(held))
+        big, stretch = x["b"] * SPLIT > total and x["c"] > 1, held.index(min(held))
         held[stretch] += 0 if big else x["b"]
         found.append((x["k"], big, None if big else stretch))
     large = docs.sparkSession.createDataFrame(found, "k long, big boolean, stretch long")
