@@ -359,7 +359,7 @@ def streams(ads: DataFrame) -> DataFrame:
     text = F.decode(F.col("content"), "ISO-8859-1")
     zone = F.regexp_extract(text, r"ZoneId\s*=\s*(\d)", 1)
     where = F.create_map(*[F.lit(x) for k, v in rules.ZONES.items() for x in (str(k), v)])
-    benign = F.exists(F.array(*[F.lit(b) for b in rules.BENIGN_STREAMS]), lambda b: name.startswith(b))
+    benign = name.isin(*rules.BENIGN_STREAMS) | F.exists(F.array(*[F.lit(b) for b in rules.BENIGN_BEGINNINGS]), lambda b: name.startswith(b))
     mark = ads.where(name == "zone.identifier")
     strings = F.array_join(C.printable_strings(F.col("content"), 6, 20), "\n")
     return union([

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def ordinal(df: DataFrame, keys: list[str], value: str, share: float = 0.9) -> DataFrame:
@@ -55,20 +57,30 @@ def line_breaks(spans: DataFrame, keys: list[str], order: str, y: str, least: fl
     return spans.withColumn("breaks", F.coalesce(F.abs(F.col(y) - F.lag(y).over(w)) > least, F.lit(False)))
 
 
-def reachable(edges: DataFrame, starts: DataFrame, keys: list[str], rounds: int = 100) -> DataFrame:
-    """(keys, node): what can be reached from the start nodes over edges (keys, src, dst). Cycles are no matter: each
-    round follows edges only from nodes met for the first time. Rounds are cut by checkpoints."""
-    from lumen.session import checkpointed
-
-    seen = checkpointed(starts.select(*keys, "node").distinct())
-    frontier = seen
-    for _ in range(rounds):
-        step = frontier.withColumnRenamed("node", "src").join(edges, [*keys, "src"]).select(*keys, F.col("dst").alias("node")).distinct()
-        frontier = checkpointed(step.join(seen, [*keys, "node"], "left_anti"))
-        if frontier.isEmpty():
-            return seen
-        seen = checkpointed(seen.union(frontier))
-    raise RuntimeError("more rounds are needed")
+def reachable(edges: DataFrame, starts: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, node): what can be reached from the start nodes over edges (keys, src, dst), the start nodes included.
+    Cycles and chains of any length are no matter: a graph is that of one file, which was parsed in one task too, and it
+    is walked in one. Nulls in keys are a key of their own, null nodes are left out. No start, no row."""
+    kind = edges.schema["dst"].dataType
+    out = T.StructType([*[edges.schema[k] for k in keys], T.StructField("node", kind)])
+    start = starts.select(*keys, F.col("node").cast(kind).alias("src"), F.col("node").cast(kind).alias("dst"), F.lit(True).alias("start"))
+    rows = edges.select(*keys, F.col("src").cast(kind).alias("src"), "dst", F.lit(False).alias("start")).union(start).where("src IS NOT NULL AND dst IS NOT NULL").distinct()
+
+    def walk(own: pd.DataFrame) -> pd.DataFrame:
+        ahead: dict = {}
+        for a, b in zip(own["src"], own["dst"], strict=True):
+            ahead.setdefault(a, []).append(b)
+        todo = own.loc[own["start"], "dst"].tolist()
+        seen = dict.fromkeys(todo)
+        while todo:
+            for b in ahead.get(todo.pop(), ()):
+                if b not in seen:
+                    seen[b] = None
+                    todo.append(b)
+        got = own.iloc[:1][keys].merge(pd.DataFrame({"node": list(seen)}), how="cross")
+        return got if len(seen) else got.astype({"node": own["dst"].dtype})
+
+    return rows.groupBy(*keys).applyInPandas(walk, out)
 
 
 def unreached(nodes: DataFrame, edges: DataFrame, starts: DataFrame, keys: list[str]) -> DataFrame:

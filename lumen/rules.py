@@ -92,6 +92,12 @@ RISKY_MAIL = "exe dll scr js jse vbs vbe ps1 bat cmd hta lnk msi jar wsf cpl com
 MAX_DEPTH, MAX_FILE, MAX_PART, MAX_TOTAL, MAX_TEXT = 4, 500 << 20, 256 << 20, 1 << 30, 20_000_000
 CLIP, LOW_CONTRAST = 600, 1.5
 
+# Byte order marks and their encodings; signatures of file kinds; what names a mail's origin and topic.
+BYTE_ORDER_MARKS = ((b"\xef\xbb\xbf", "utf-8-sig"), (b"\xff\xfe\x00\x00", "utf-32"), (b"\x00\x00\xfe\xff", "utf-32"), (b"\xff\xfe", "utf-16"), (b"\xfe\xff", "utf-16"))
+OLE, PNG, JPEG, GIF = b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1", b"\x89PNG\r\n\x1a\n", b"\xff\xd8\xff", (b"GIF87a", b"GIF89a")
+MAIL_ORIGIN = (b"received", b"from", b"mime-version", b"message-id", b"return-path")
+MAIL_TOPIC = (b"subject", b"content-type")
+
 # CSS colour names.
 CSS_COLOURS = {
     "white": (255, 255, 255), "black": (0, 0, 0), "red": (255, 0, 0), "blue": (0, 0, 255), "green": (0, 128, 0), "yellow": (255, 255, 0), "gray": (128, 128, 128),
@@ -126,7 +132,7 @@ FIELDS = (
 # Keys of PDF objects that act, with severity and category.
 PDF_KEYS = (
     ("/JavaScript", "HIGH", "JavaScript"), ("/JS", "HIGH", "JavaScript"), ("/Launch", "HIGH", "Launch action"), ("/RichMedia", "MEDIUM", "Rich media"), ("/XFA", "MEDIUM", "XFA form"), ("/SubmitForm", "MEDIUM", "Form submission"),
-    ("/ImportData", "MEDIUM", "Data import"), ("/GoToR", "LOW", "Remote go-to"), ("/GoToE", "MEDIUM", "Embedded go-to"), ("/AA", "LOW", "Additional actions"), ("/OpenAction", "LOW", "Open action"),
+    ("/ImportData", "MEDIUM", "Data import"), ("/GoToR", "MEDIUM", "Remote go-to"), ("/GoToE", "MEDIUM", "Embedded go-to"), ("/AA", "MEDIUM", "Automatic actions"), ("/OpenAction", "LOW", "Open action"),
 )
 
 # Extensions of parts that run, in packages.
@@ -134,8 +140,9 @@ RUNNING_PARTS = "exe dll scr js jse vbs vbe ps1 bat cmd hta lnk msi jar wsf cpl
 
 # Zones of the mark that browsers leave, and benign streams.
 ZONES = {0: "local machine", 1: "intranet", 2: "trusted", 3: "internet", 4: "restricted"}
-BENIGN_STREAMS = ("zone.identifier", "smartscreen", "afp_afpinfo", "afp_resource", "favicon", "com.apple.")
+BENIGN_STREAMS = ("zone.identifier", "smartscreen", "com.dropbox.attrs", "com.dropbox.attributes", "encryptable", "oecustomproperty", "ms-properties", "afp_afpinfo", "afp_resource")
+BENIGN_BEGINNINGS = ("com.apple.", "{")
 
-# Words in macros that run by themselves, and that reach outside the document.
+# A short list of our own: words in macros that run by themselves, and that reach outside the document.
 MACRO_AUTO = "AutoOpen AutoExec AutoExit AutoClose AutoNew Document_Open Document_Close Document_New DocumentOpen Workbook_Open Workbook_Close Workbook_Activate Workbook_BeforeClose Auto_Open Auto_Close".split()
 MACRO_RISKY = "Shell WScript.Shell CreateObject GetObject URLDownloadToFile XMLHTTP WinHttp PowerShell cmd.exe Environ Kill FileCopy ADODB.Stream SaveToFile Lib CallByName ExecuteExcel4Macro StrReverse Chr VirtualAlloc RtlMoveMemory".split()

@@ -14,7 +14,7 @@ from lumen.sources.html import hex_colour
 from lumen.sources.unpack import Artifact
 from lumen.sources.xml import all_of, att, kid, kids, local, texts, whole
 
-IMAGES = (".png", ".jpg", ".jpeg", ".gif", ".bmp", ".emf", ".wmf", ".tif", ".tiff", ".svg", ".wdp")
+IMAGES = (".png", ".jpg", ".jpeg", ".gif", ".bmp", ".emf", ".wmf", ".tif", ".tiff", ".svg", ".wdp", ".webp")
 # Document properties that are listed, and those that are read as text too.
 PROPERTIES = {
     "docProps/core.xml": "title subject creator keywords description lastModifiedBy revision created modified category contentStatus identifier".split(),

@@ -114,7 +114,7 @@ def test_streams_and_slack(spark, tmp_path):
     assert {("Hidden alternate data stream", "HIGH"), ("Mark of the Web", "INFO"), ("Data in file slack", "HIGH")} <= got
 
 
-@pytest.mark.parametrize(("name", "raw", "kind"), [("a.msg", b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1", "msg"), ("a", b"  {\\rtf1}", "rtf"), ("a", b"x%PDF-1", "pdf"), ("a", b"From: a\r\nSubject: b\r\n\r\nx", "eml"), ("a", b"plain", "text"), ("a", bytes(range(32)) * 9, "binary"), ("a", b"PK\x03\x04broken", "text"), ("a", b"", "text")])
+@pytest.mark.parametrize(("name", "raw", "kind"), [("a.msg", b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1", "msg"), ("a", b"  {\\rtf1}", "rtf"), ("a", b"x%PDF-1", "pdf"), ("a", b"From: a\r\nSubject: b\r\n\r\nx", "eml"), ("a", b"plain", "text"), ("a", bytes(range(32)) * 9, "binary"), ("a", b"PK\x03\x04broken", "binary"), ("a", b"PK\x03\x04broken" + b" words" * 9, "text"), ("a", b"", "text")])
 def test_detect(name, raw, kind):
     assert unpack.detect(name, raw) == kind
 
@@ -138,3 +138,62 @@ def test_text_over_a_scan_is_an_ocr_layer(spark, tmp_path):
     assert got["scan.pdf"]["OCR text layer"] == ("INFO", "Page 1", "words read from a scan") and "Hidden text" not in got["scan.pdf"]
     assert got["small.pdf"]["Hidden text"][0] == "HIGH" and "OCR text layer" not in got["small.pdf"]
     assert "Hidden text" not in got["order.pdf"] and got["order.pdf"]["Possible AI prompt injection"][1] == "Page 1 (OCR layer)"
+
+
+def test_long_chains_do_not_stop_other_files(spark, tmp_path):
+    from lumen.operators import sequences
+
+    chain = [("a", k, k + 1) for k in range(400)] + [("a", 400, 0), ("a", 900, 901), ("b", 7, 8)]
+    edges = spark.createDataFrame(chain, "file string, src int, dst int")
+    starts = spark.createDataFrame([("a", 0), ("b", 7), ("c", 1)], "file string, node int")
+    got = {tuple(r) for r in sequences.reachable(edges, starts, ["file"]).collect()}
+    assert got == {("a", k) for k in range(401)} | {("b", 7), ("b", 8), ("c", 1)}
+    outline = "".join(f"{k} 0 obj\n<< /Title (entry {k}) /Next {k + 1} 0 R >>\nendobj\n" for k in range(20, 320))
+    pdf = fixtures.pdf_file("BT /F1 12 Tf 72 700 Td (Visible words) Tj ET").replace(b"/Type /Catalog", b"/Type /Catalog /Outlines 20 0 R", 1)
+    at = pdf.rfind(b"xref")
+    (tmp_path / "long.pdf").write_bytes(pdf[:at] + outline.encode() + b"320 0 obj\n<< /Title (last) >>\nendobj\n" + pdf[at:])
+    (tmp_path / "plain.txt").write_bytes(fixtures.trap_txt())
+    scan = scan_files(spark, str(tmp_path))
+    rows = scan.findings.collect()
+    assert any(r["artifact_id"].endswith("plain.txt") for r in rows) and [r["detail"][-3:] for r in rows if r["category"] == "Orphaned objects"] == [": 7"]  # the fixture has one
+
+
+def test_streams_of_common_programs_are_benign(spark):
+    from lumen.operators import documents
+
+    names = ["com.dropbox.attrs", "com.dropbox.attributes", "encryptable", "OECustomProperty", "ms-properties", "{4c8cc155-6c1e-11d1-8e41-00c04fb9386d}", "com.apple.quarantine", "AFP_AfpInfo", "favicon", "encryptable2"]
+    ads = spark.createDataFrame([("f", k, n, 4, bytearray(b"abcd")) for k, n in enumerate(names)], "artifact_id string, seq long, stream string, size long, content binary")
+    got = {r["location"]: r["severity"] for r in documents.streams(ads).collect()}
+    assert got == dict.fromkeys(names[:8], "INFO") | {"favicon": "HIGH", "encryptable2": "HIGH"}
+
+
+def test_readers_of_structures():
+    import io
+    import struct
+    import zipfile
+    import zlib
+
+    from lumen.sources.formats import Directory, Rtf, image_extra, strings
+
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("a.txt", "hello " * 99)
+        z.writestr("ü/b.txt", "x")
+        z.comment = b"said"
+    for before in (b"", b"bytes in front"):
+        d = Directory(before + held.getvalue() + b"behind")
+        with zipfile.ZipFile(io.BytesIO(before + held.getvalue())) as z:
+            assert [(m.name, m.start) for m in d.members()] == [(i.filename, i.header_offset) for i in z.infolist()]
+        assert d.comment == b"said" and [m.stop for m in d.members()][-1] == d.start
+    chunk = lambda name, data: struct.pack(">I", len(data)) + name + data + struct.pack(">I", zlib.crc32(name + data))
+    png = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", b"x" * 13) + chunk(b"IDAT", b"IEND inside") + chunk(b"IEND", b"")
+    jpeg = b"\xff\xd8\xff\xe0\x00\x06\xff\xd9ab\xff\xda\x00\x04ab" + b"coded\xff\x00\xff\xd3more" + b"\xff\xd9"
+    gif = b"GIF89a" + b"\x01\x00\x01\x00\x80\x00\x00" + b"\x00" * 6 + b"\x2c" + b"\x00" * 9 + b"\x02\x02;;\x00" + b"\x3b"
+    for image in (png, jpeg, gif):
+        assert image_extra(image) is None and image_extra(image + b"\0" * 99) is None
+        for extra in (b"appended words, quite long", b"with marks IEND \xff\xd9 ; inside of it"):
+            assert image_extra(image + extra)[1] == extra
+    rtf = Rtf(r"{\rtf1{\fonttbl Arial;}{\colortbl;\red9\green9\blue9;\red250\green250\blue250;}seen{\v hidden {\b bold} \v0 back}{\*\generator none}\cf2 pale\plain\u233?\'e9\{x\}{\object\objdata 01ff}}")
+    assert [(t, s.hidden) for t, s in rtf.runs] == [("seen", False), ("hidden bold ", True), ("back", False), ("pale", False), ("éé{x}", False)]
+    assert rtf.pale() == {2} and rtf.runs[3][1].colour == 2 and [x for _, x in rtf.objects] == ["01ff"]
+    assert strings(b"\0plain words\xffw\0i\0d\0e\0r\0s\0\xff") == ["plain words", "widers"]
