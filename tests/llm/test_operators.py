@@ -324,18 +324,52 @@ def test_language_model(spark, docs, empty):
 
 def test_language_model_sums_to_one():
     rng = np.random.default_rng(0)
-    hashes = np.sort(rng.integers(1, 1 << 60, 3000).astype("<u8"))
-    counts = np.sort(rng.integers(1, 900, 3000))[::-1]
-    m = maxent.Model(hashes, counts, int(counts.sum()), 3000)
+    hashes = np.unique(maxent.named(rng.integers(1, 1 << 60, 3000).astype("<u8"), rng.integers(0, 1 << 24, 3000)))
+    counts = np.sort(rng.integers(1, 900, len(hashes)) // rng.integers(1, 900, len(hashes)) + 1)[::-1]
+    k = (hashes & maxent.GROUP).astype("int64")
+    groups = np.array([np.bincount(k, weights=x, minlength=maxent.ENDINGS) for x in (counts, np.ones(len(k)), counts == 1)]).T
+    m = maxent.Model(hashes, counts, int(counts.sum()), len(hashes), groups)
     for w in m.tables:
         w += rng.normal(0, 0.5, w.shape).astype("float32")
-    tokens = maxent.Tokens(hashes[:4], np.arange(4), np.array([5, 9, 700, 1]), np.array([5, 9, 0, 1]))
-    chunk = maxent.Chunk(tokens, np.array([4]))
-    classes = np.exp(chunk.logs(m, 0, 0, len(chunk.n)))
-    assert np.allclose(classes.sum(1), 1, atol=1e-4) and np.allclose(np.exp(chunk.logs(m, 1, 0, len(chunk.cell_n))).sum(1), 1, atol=1e-4)
-    outcomes = {h for h, _ in m.chosen}
-    rest = sum((c + 0.1) / (m.n + 0.1 * (m.v + 1)) for h, c in zip(hashes.tolist(), counts.tolist(), strict=True) if h not in outcomes) + 0.1 / (m.n + 0.1 * (m.v + 1))
-    assert math.isclose(math.log10(rest), m.rest, rel_tol=1e-6)
+    chunk = maxent.Chunk(maxent.Tokens(hashes[:4], np.arange(4), np.array([5, 900, 700, 511])), np.array([4]), m.rows)
+    assert np.allclose(np.exp(chunk.logs(m, 0, 0, len(chunk.n))).sum(1), 1, atol=1e-4) and np.allclose(np.exp(chunk.logs(m, 1, 0, len(chunk.cell_n))).sum(1), 1, atol=1e-4)
+    own = {h for h, _ in m.chosen}
+    rest = np.array([h not in own for h in hashes.tolist()])
+    share = np.bincount(k[rest], weights=10 ** m.inside(hashes[rest], counts[rest]), minlength=maxent.ENDINGS)
+    share += 10 ** m.inside(np.arange(maxent.ENDINGS).astype("<u8"), np.zeros(maxent.ENDINGS))
+    assert np.allclose(share[np.bincount(k[rest], minlength=maxent.ENDINGS) > 0], 1)
+
+
+def test_language_model_score_is_the_plain_one(spark, docs):
+    """score, token by token from the weights, and a gain on held-out texts."""
+    model, vocabulary = maxent.fit(docs, remainder(10) != 0, common=50)
+    got = sorted((r["doc_id"], r["score"], r["base_score"], r["n_tokens"]) for r in maxent.score(docs, model, vocabulary).collect())
+    hasher, count = common.WordHasher(), Counter()
+    texts = [(r[0], [*maxent.named(*hasher([(r[1] or "").encode()], tails=True)[::2]).tolist(), int(maxent.END)]) for r in corpus()]
+    for i, words in texts:
+        if zlib.crc32(str(i).encode()) % 10:
+            count.update(words)
+    assert sum(count.values()) == model.n and len(count) == model.v
+    outcome = {h: maxent.ENDINGS + i for i, (h, _) in enumerate(model.chosen)}
+    C, P, R = maxent.CLASSES, maxent.PER, model.rows
+
+    def plain(words):
+        total, one, two = 0.0, maxent.BEGIN, maxent.BEGIN
+        for h in words:
+            o = outcome.get(h, h & 511)
+            key, c = one * maxent.CONTEXTS + two, o // P
+            x = (model.class_bias + model.tables[0][one] + model.tables[1][two] + model.tables[2][(key * 0x9E3779B1 >> 7) % R]).astype("float64")
+            y = (model.word_bias[c] + model.tables[3][(one * C + c) * 0x9E3779B1 % 0x1FFFFFFF % R] + model.tables[4][((two * C + c) * 0x85EBCA6B + 77) % 0x1FFFFFFF % R]).astype("float64")
+            total += (x[c] - np.log(np.exp(x).sum()) + y[o % P] - np.log(np.exp(y).sum())) / math.log(10)
+            if h not in outcome:
+                total += float(model.inside(np.array([h], "<u8"), np.array([count[h]]))[0])
+            one, two = o, one
+        return total
+
+    want = sorted((i, plain(words)) for i, words in texts)
+    assert np.allclose([x[1] for x in got], [x[1] for x in want], rtol=2e-4)
+    held = [x for x in got if zlib.crc32(str(x[0]).encode()) % 10 == 0]
+    assert held and sum(x[1] - x[2] for x in held) > 0
 
 
 def test_nearest(spark):
