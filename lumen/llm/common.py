@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 
@@ -80,6 +81,16 @@ def binary_texts(batch: pa.RecordBatch, k: int) -> list[bytes | None]:
     return col.cast(pa.large_binary() if pa.types.is_large_string(col.type) else pa.binary()).to_pylist()
 
 
+def release() -> None:
+    """Give memory that this Python worker no longer needs back to the system: workers live on between tasks, and what
+    one stage held would count against the executor in all later ones."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        return
+
+
 def scramble(x: np.ndarray) -> np.ndarray:
     """A one-to-one mix of 64-bit numbers."""
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -14,11 +14,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import WORD, WordHasher, binary_texts, components, power_of_two, scramble, stage, unstage
+from .common import WORD, WordHasher, binary_texts, components, power_of_two, release, scramble, stage, unstage
 
 MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
-#: n-grams that a task holds before it passes them on.
-CHUNK = 2_000_000
+#: n-grams that a task holds before it counts them early, and before it deals them out.
+CHUNK, HELD = 2_000_000, 600_000
 #: n-grams of a range of hashes, which one Python call sorts.
 RANGE = 3_000_000
 #: An n-gram in so many sets of one chunk is counted early, and is hot if the early counts come to the share HOT of all sets.
@@ -119,6 +119,7 @@ def _prints(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
                 yield from out()
                 rows, held, size = ([], [], []), [], 0
         yield from out()
+        release()
 
     return _texts(docs, id_col, text_col).mapInArrow(run, fields)
 
@@ -188,11 +189,12 @@ def _postings(docs: DataFrame, id_col: str, text_col: str, n: int, parts: int, h
                 held.append(own)
                 names.append(fp)
                 size += len(own)
-                if size >= CHUNK:
+                if size >= HELD:
                     yield out()
                     held, names, size = [], [], 0
         if held:
             yield out()
+        release()
 
     return _texts(docs, id_col, text_col).mapInArrow(run, BLOBS)
 
@@ -202,19 +204,21 @@ def _shared(postings: DataFrame, parts: int) -> DataFrame:
     bits = parts.bit_length() - 1
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        k = _all(rows, "k", "<u4")
-        s, n = np.repeat(_all(rows, "s", "<i8"), k), np.repeat(_all(rows, "n", "<u4"), k)
+        s, n, k = _all(rows, "s", "<i8"), _all(rows, "n", "<u4"), _all(rows, "k", "<u4")
+        of = np.repeat(np.arange(len(k), dtype="<u4"), k)  # the run of each n-gram
         if key[0] >= parts:
             h = (_all(rows, "data", "<u8") >> np.uint64(64 - BITS)) + np.uint64(HOT_LEVEL << BITS)
+            s, n = s[of], n[of]
         else:
-            h = _from_six(b"".join(rows["data"]))
-            del rows
+            h = np.concatenate([_from_six(x) for x in rows["data"]])
             by = np.argsort(h)
             h = h[by]
-            same = h[1:] == h[:-1]
-            some = np.concatenate([same, [False]]) | np.concatenate([[False], same])
-            h, by = h[some], by[some]
-            s, n = s[by], n[by]
+            some = np.zeros(len(h), bool)
+            some[1:] = h[1:] == h[:-1]
+            some[:-1] |= some[1:]
+            h, of = h[some], of[by[some]]
+            del by, some
+            s, n = s[of], n[of]
             by = np.lexsort((s, h))
             h, s, n = h[by], s[by], n[by]
             new = np.ones(len(h), bool)  # a set that several tasks met is one
@@ -231,6 +235,8 @@ def _shared(postings: DataFrame, parts: int) -> DataFrame:
         by = np.argsort(s, kind="stable")
         s, n, h = s[by], n[by], h[by]
         out = list(_dealt((scramble(s.view("<u8")) % np.uint64(parts)).astype("int32"), parts, s, n, h, np.ndarray.tobytes)) if len(s) else []
+        del s, n, h, by, of
+        release()
         return pd.DataFrame(out, columns=_BLOBS.names)
 
     return postings.groupBy("part").applyInPandas(run, BLOBS)
@@ -256,6 +262,8 @@ def _reduced(shared: DataFrame, percent: int) -> DataFrame:
             if 100 * z >= percent * int(n[a]):
                 own = h[a : a + z].tobytes()
                 found.append((int(s[a]), int(n[a]), z, own, xxhash.xxh3_64_intdigest(own) - (1 << 63)))
+        del s, n, h, by
+        release()
         return pd.DataFrame(found, columns=["s", "n", "r", "own", "cls"])
 
     return shared.groupBy("part").applyInPandas(run, "s long, n int, r int, own binary, cls long")

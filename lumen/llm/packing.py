@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BINARY, INT, LONG, binary_texts, schema, stage
+from .common import BINARY, INT, LONG, binary_texts, release, schema, stage
 
 
 #: Words of these characters need no normalising but lower case, and are split by SPLIT as the tokenizer does.
@@ -92,6 +92,8 @@ def tokenized_pieces(docs: DataFrame, path: str, length: int = 2048, id_col: str
                         for c, v in zip(cols, (doc, piece, a // 4, len(x) // 4, zlib.crc32(x), x), strict=True):
                             c.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [batch.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()], strict=True)][: len(fields)], names=list(fields))
+        del known
+        release()
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, out)
 

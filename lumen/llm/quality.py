@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import DOUBLE, binary_texts, schema
+from .common import DOUBLE, binary_texts, release, schema
 
 #: Bytes to their class: letters a or A, digits 0, all of a multi-byte character a; marks stay as they are.
 SHAPE = bytes(97 if x >= 128 or chr(x).islower() else 65 if chr(x).isupper() else 48 if chr(x).isdigit() else x for x in range(256))
@@ -177,5 +177,6 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = 0.3, id_col: str
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 yield part.filter(pa.array(m.score([t or b"" for t in binary_texts(part, k)]) >= threshold))
+        release()
 
     return docs.mapInArrow(run, docs.schema)
