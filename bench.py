@@ -23,7 +23,7 @@ def main() -> None:
     try:
         from lumen.llm.queries import QUERIES
 
-        runs |= {n: QUERIES[n] for n in ("op1_line_dedup", "op2_best_fit_packing", "op5_source_mixing", "op8_byte_shards", "op9_secret_scan", "op10_quality")}
+        runs |= {n: QUERIES[n] for n in ("op1_line_dedup", "op2_best_fit_packing", "op3_ngram_jaccard_join", "op5_source_mixing", "op6_maxent_scores", "op7_nearest_neighbours", "op8_byte_shards", "op9_secret_scan", "op10_quality")}
     except ImportError:
         pass
     took, failed = {}, {}

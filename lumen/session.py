@@ -30,15 +30,19 @@ def importable(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (here, env.get("PYTHONPATH", "")) if x)
 
 
+def own_folder(spark: SparkSession) -> str:
+    """A folder for checkpoints where none is set: only where driver and executors are one machine's processes."""
+    import tempfile
+
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return tempfile.mkdtemp(prefix="lumen-checkpoints-")
+
+
 def checkpointed(df):
-    """df with its lineage cut in the shared checkpoint folder; one of our own only where none is set."""
+    """df with its lineage cut in the shared checkpoint folder; one of our own only where none is set, in local mode."""
     spark = df.sparkSession
     context = spark.sparkContext._jsc.sc()
     if not context.getCheckpointDir().isDefined():
-        path = spark.conf.get("spark.checkpoint.dir", None)
-        if not path:
-            import tempfile
-
-            path = tempfile.mkdtemp(prefix="lumen-checkpoints-")
-        spark.sparkContext.setCheckpointDir(path)
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or own_folder(spark))
     return df.checkpoint()
