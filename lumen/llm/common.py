@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import atexit
 import ctypes
-import tempfile
 import uuid
 
 import numpy as np
@@ -13,18 +12,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lumen.session import own_folder
+
 #: Words as the contracts define them, on UTF-8 bytes: bytes.split() separates at exactly these characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; one of our own only where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; one of our own only where it is unset, in local mode."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         kept = spark.sparkContext._jsc.sc().getCheckpointDir()
         if kept.isDefined():
             return kept.get()
-        path = tempfile.mkdtemp(prefix="lumen-checkpoints-")
+        path = own_folder(spark)
         spark.sparkContext.setCheckpointDir(path)
     return path
 
