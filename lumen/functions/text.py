@@ -145,9 +145,10 @@ def java(pattern: str) -> str:
 
 def context(text: Column, pattern: str, before: int = 80, after: int = 120) -> Column:
     """The first match with what stands around it. The start is the length of the text before, in code points."""
-    begin = F.length(F.regexp_extract(text, f"(?isU)\\A(.*?)(?={pattern})", 1))
+    around = F.split(text, java(pattern), 2)  # one search: what is not before and not behind is the match
+    begin = F.length(F.get(around, F.lit(0)))
     a = F.greatest(begin - before, F.lit(0))
-    z = begin + F.length(F.regexp_extract(text, java(pattern), 0)) + after
+    z = F.length(text) - F.length(F.get(around, F.lit(1))) + after
     return F.substring(text, a + 1, z - a)
 
 
