@@ -119,29 +119,43 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id
     order = np.argsort(np.array(rows.column(0).to_pylist()), kind="stable") if rows.num_rows else []
     y = np.array(rows.column(1).to_pylist(), "float64")[order] if rows.num_rows else np.zeros(0)
     raw = rows.column(2).to_pylist()
-    shapes = _Shapes()
-    counts = [terms(raw[i], shapes) for i in order]
-    df = Counter(w for c in counts for w in c)
-    top = [w for w, n in sorted(df.items(), key=lambda x: (-x[1], x[0]))[:vocabulary] if n > 1]
-    index, n = {w: i for i, w in enumerate(top)}, len(counts)
+    del rows
+    # every text's terms as numbers: its counter is let go at once, so the driver holds eight bytes a term
+    number: dict[bytes, int] = {}
+    found, shapes = [], _Shapes()
+    for i in order:
+        c = terms(raw[i], shapes)
+        found.append((np.fromiter((number.setdefault(w, len(number)) for w in c), "int32", len(c)), np.fromiter(c.values(), "int32", len(c))))
+    n = len(found)
+    df = np.bincount(np.concatenate([i for i, _ in found]), minlength=len(number)) if n else np.zeros(0, "int64")
+    top = sorted((w for w, i in number.items() if df[i] > 1), key=lambda w: (-df[number[w]], w))[:vocabulary]
+    index = {w: i for i, w in enumerate(top)}
     if not n or not top:
         return Model({}, np.zeros((0, 1), "float32"), np.zeros((0, 1), "float32"), np.zeros(0), neighbours, power, float(y.mean()) if n else 0.5)
-    idf = np.log((1 + n) / (np.array([df[w] for w in top]) + 0.5)).astype("float32")
+    kept = np.array([number[w] for w in top])
+    place = np.full(len(number), -1, "int32")
+    place[kept] = np.arange(len(top))
+    idf = np.log((1 + n) / (df[kept] + 0.5)).astype("float32")
+    del number
     x = np.zeros((n, len(top)), "float32")
-    for r, c in enumerate(counts):
-        for w, k in c.items():
-            if w in index:
-                x[r, index[w]] = (1 + np.log(k)) * idf[index[w]]
-    size = np.sqrt((x * x).sum(1, keepdims=True))
-    np.divide(x, size, out=x, where=size > 0)
+    for r, (i, k) in enumerate(found):
+        at = place[i]
+        x[r, at[at >= 0]] = (1 + np.log(k[at >= 0])) * idf[at[at >= 0]]
+        size = np.sqrt((x[r] * x[r]).sum())
+        if size > 0:
+            x[r] /= size
+    del found
     d = min(dimensions, n, len(top))
     q = np.random.default_rng(5).standard_normal((len(top), min(d + 16, n, len(top)))).astype("float32")
     for _ in range(4):  # the leading right singular vectors, by subspace iteration
         q = np.linalg.qr(x.T @ (x @ q))[0]
     _, s, vt = np.linalg.svd(x @ q, full_matrices=False)
     basis = (q @ vt.T)[:, :d] / np.sqrt(np.maximum(s[:d], 1e-6))
+    del x
     model = Model(index, np.ascontiguousarray(basis * idf[:, None], "float32"), np.zeros((0, d), "float32"), y, neighbours, power, float(y.mean()))
     model.vectors = np.concatenate([model.latent([raw[i] for i in order[a : a + 256]]) for a in range(0, n, 256)])
+    del raw
+    release()
     return model
 
 
