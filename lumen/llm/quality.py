@@ -137,21 +137,29 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id
     place[kept] = np.arange(len(top))
     idf = np.log((1 + n) / (df[kept] + 0.5)).astype("float32")
     del number
-    x = np.zeros((n, len(top)), "float32")
-    for r, (i, k) in enumerate(found):
+    # rows are kept as the places and weights of their terms; only 256 of them are ever spread out
+    rows = []
+    for i, k in found:
         at = place[i]
-        x[r, at[at >= 0]] = (1 + np.log(k[at >= 0])) * idf[at[at >= 0]]
-        size = np.sqrt((x[r] * x[r]).sum())
-        if size > 0:
-            x[r] /= size
-    del found
+        w = (1 + np.log(k[at >= 0])).astype("float32") * idf[at[at >= 0]]
+        size = np.sqrt((w * w).sum())
+        rows.append((at[at >= 0], w / size if size > 0 else w))
+    del found, place
+
+    def spread() -> Iterator[np.ndarray]:
+        for a in range(0, n, 256):
+            x = np.zeros((min(256, n - a), len(top)), "float32")
+            for r, (at, w) in enumerate(rows[a : a + 256]):
+                x[r, at] = w
+            yield x
+
     d = min(dimensions, n, len(top))
     q = np.random.default_rng(5).standard_normal((len(top), min(d + 16, n, len(top)))).astype("float32")
     for _ in range(4):  # the leading right singular vectors, by subspace iteration
-        q = np.linalg.qr(x.T @ (x @ q))[0]
-    _, s, vt = np.linalg.svd(x @ q, full_matrices=False)
+        q = np.linalg.qr(sum(x.T @ (x @ q) for x in spread()))[0]
+    _, s, vt = np.linalg.svd(np.concatenate([x @ q for x in spread()]), full_matrices=False)
     basis = (q @ vt.T)[:, :d] / np.sqrt(np.maximum(s[:d], 1e-6))
-    del x
+    del rows
     model = Model(index, np.ascontiguousarray(basis * idf[:, None], "float32"), np.zeros((0, d), "float32"), y, neighbours, power, float(y.mean()))
     model.vectors = np.concatenate([model.latent([raw[i] for i in order[a : a + 256]]) for a in range(0, n, 256)])
     del raw
