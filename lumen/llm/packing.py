@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 from .common import BINARY, INT, LONG, binary_texts, release, schema, stage
 
 
-#: Words of these characters need no normalising but lower case, and are split by SPLIT as the tokenizer does.
-PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+").fullmatch
-SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z\u00df-\u00f6\u00f8-\u00ff0-9]+").findall
+#: Texts of these characters need no normalising but lower case, and are split by SPLIT as the tokenizer does.
+PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff \t-\r]*").fullmatch
+SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z\u00df-\u00f6\u00f8-\u00ff0-9 \t-\r]+").findall
 
 
 def byte_letters() -> dict[int, str]:
@@ -29,43 +29,48 @@ def byte_letters() -> dict[int, str]:
     return {x: chr(x) for x in shown} | {x: chr(256 + k) for k, x in enumerate(rest)}
 
 
-class WordIds(dict):
-    """word -> its token ids as little-endian 32-bit words. The tokenizer drops white space and never joins over it,
-    so ids of a text are those of its words in order. What is kept is bounded: words of the last generation that are
-    not met again are forgotten."""
+class PartIds(dict):
+    """Part of a text -> its token ids as little-endian 32-bit words; ids() gives those of a whole text. The tokenizer
+    drops white space and joins over no part's end, so ids of a text are those of its parts in order. What is kept is
+    bounded: parts of the last generation that are not met again are forgotten."""
 
-    def __init__(self, path: str, most: int = 100_000):
+    def __init__(self, path: str, most: int = 200_000):
         super().__init__()
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most, self.old = Tokenizer.from_file(path), most, {}
-        self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]  # found inside words, too
-        self.model, self.parts, self.letters = self.tokenizer.model, {}, byte_letters()
+        self.tokenizer, self.most, self.old, self.letters = Tokenizer.from_file(path), most, {}, byte_letters()
+        self.model = self.tokenizer.model
+        special = [re.escape(x.content) for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(special) or "(?!)").search  # found inside words, too
 
-    def __missing__(self, word: bytes) -> bytes:
+    def ids(self, text: bytes) -> bytes:
+        whole = text.decode("utf-8", "replace")
+        if self.plain(whole):
+            return b"".join(map(self.__getitem__, SPLIT(whole.lower())))
+        words = (x.decode("utf-8", "replace") for x in text.split())
+        return b"".join([self[p] for w in words for p in (SPLIT(w.lower()) if self.plain(w) else (w,))])
+
+    def plain(self, text: str) -> bool:
+        return bool(PLAIN(text)) and not self.special(text)
+
+    def __missing__(self, part: str) -> bytes:
         if len(self) >= self.most:
             self.old = dict(self)
             self.clear()
-        got = self.old.get(word)
+        got = self.old.get(part)
         if got is None:
-            got = self._ids(word.decode("utf-8", "replace"))
-        self[word] = got
+            got = self._ids(part)
+        self[part] = got
         return got
 
-    def _ids(self, word: str) -> bytes:
-        if not PLAIN(word) or any(x in word for x in self.special):
-            return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        out = []
-        for part in SPLIT(word.lower()):
-            got = self.parts.get(part)
-            if got is None:
-                if len(self.parts) >= 2 * self.most:
-                    self.parts.clear()
-                letters = part if part.isascii() else "".join(map(self.letters.__getitem__, part.encode()))
-                ids = [x.id for x in self.model.tokenize(letters)]
-                got = self.parts[part] = struct.pack(f"<{len(ids)}I", *ids)
-            out.append(got)
-        return b"".join(out)
+    def _ids(self, part: str) -> bytes:
+        if part.isascii() and part.isalpha():
+            ids = [x.id for x in self.model.tokenize(part)]
+        elif self.plain(part):
+            ids = [x.id for x in self.model.tokenize("".join(map(self.letters.__getitem__, part.encode())))]
+        else:  # a word of other characters, or with a special token
+            ids = self.tokenizer.encode(part, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
 
 
 def tokenized_pieces(docs: DataFrame, path: str, length: int = 2048, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, with_ids: bool = False) -> DataFrame:
@@ -79,14 +84,14 @@ def tokenized_pieces(docs: DataFrame, path: str, length: int = 2048, id_col: str
     out = schema(**fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordIds(path)
+        known = PartIds(path)
         step = 4 * length
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 ids, cols = part.column(0).to_pylist(), ([], [], [], [], [], [])
                 for doc, text in zip(ids, binary_texts(part, 1), strict=True):
-                    own = b"".join(map(known.__getitem__, (text or b"").split())) + end
+                    own = known.ids(text or b"") + end
                     for piece, a in enumerate(range(0, len(own), step)):
                         x = own[a : a + step]
                         for c, v in zip(cols, (doc, piece, a // 4, len(x) // 4, zlib.crc32(x), x), strict=True):

@@ -132,6 +132,17 @@ def test_packing_is_a_round_trip(spark, docs, empty):
     assert packing.pack(empty, path).count() == 0
 
 
+def test_part_ids_are_the_tokenizers():
+    from tokenizers import Tokenizer
+
+    path = tokenizer("word_bpe_49k.json")
+    t, known, draw = Tokenizer.from_file(path), packing.PartIds(path, most=50), np.random.default_rng(3)
+    marks = [*"abzAZ09'\"<|>!,.-_ \t\n\r\x0b\x0c\x1c\x85\xa0\u00e9\u00c9\u00df\u00ff\u00d7\u00f7\u00b5\u00aa\u0130\u017f\u03a3\u03c3\u4e2d\u0301\u200d\u0663\u00bdstdmrevl", "<|endoftext|>", "<|startoftext|>", "'ll", "'RE", " The "]
+    for _ in range(5000):
+        text = "".join(draw.choice(marks, draw.integers(0, 14)))
+        assert known.ids(text.encode()) == np.array(t.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
+
+
 def test_sequences_hold_the_ids(spark):
     path = tokenizer("word_bpe_49k.json")
     d = spark.createDataFrame([(i, f"hello world {i} " * (i * 40)) for i in range(12)], "doc_id long, text string")
