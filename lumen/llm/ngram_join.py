@@ -307,49 +307,48 @@ class Trie:
             m = min(len(a), len(b))
             differ = a[:m] != b[:m]
             self.common[i] = differ.argmax() if m and differ.any() else m
+        # each part of a path is kept once, with the leaf that comes first of those below it
+        parts = [x[c:] for x, c in zip(self.sets, self.common.tolist(), strict=True)]
+        self.elements, self.edges = np.unique(np.concatenate([np.zeros(0, "<u8"), *parts]), return_inverse=True)
+        self.ends = np.cumsum([len(x) for x in parts], dtype="int64")
+        self.starts = self.ends - (self.lengths - self.common)
+        self.parent, self.leave = [-1] * len(sets), np.zeros(len(sets), "int64")  # whose part a path goes on from, and where
+        open_: list[int] = []
+        for i, c in enumerate(self.common.tolist()):
+            while open_ and self.common[open_[-1]] >= c:
+                open_.pop()
+            if open_:
+                self.parent[i] = open_[-1]
+                self.leave[i] = self.starts[open_[-1]] + c - self.common[open_[-1]]
+            open_.append(i)
+        self.from_ = np.where(np.array(self.parent, "int64") >= 0, self.starts[np.maximum(self.parent, 0)], 0) if sets else self.leave
 
     def linked(self, probe: np.ndarray, size: int, percent: int, among: np.ndarray) -> list[int]:
         """The leaves, of those marked in `among`, whose sets link with the probe.
 
-        A path's overlap with the probe is summed from the root and kept, so a leaf takes over the sums of the path that
-        it shares. Where the overlap so far and what is left on both sides cannot reach what a leaf needs, it is left;
-        below a node, that holds for a whole subtree at once.
+        Where a path leaves the one before, what is shared up to there and what is left on both sides must reach what
+        the leaf needs. A path's overlap with the probe is summed once from the root, and a leaf takes over the sum of
+        the path that it shares; all parts of paths are summed in one step.
         """
         need = -(-percent * (size + self.sizes) // (100 + percent))
         open_ = among & (need <= np.minimum(self.lengths, len(probe)))
-        found, i, depth, sums = [], 0, 0, np.zeros(1, "int64")  # overlaps of the path walked so far, by depth
-        path = np.zeros(0, "<u8")
-        while True:
-            ahead = open_[i:].argmax() if i < len(open_) else 0
-            if i >= len(open_) or not open_[i + ahead]:
-                return found
-            if ahead:
-                depth = min(depth, int(self.common[i + 1 : i + ahead + 1].min()))
-            i += int(ahead)
-            own, b = self.sets[i], int(self.lengths[i])
-            sums, path = sums[: depth + 1], own[:depth]
-            parts, overlap, wants = [sums], int(sums[depth]), int(need[i])
-            while depth < b:
-                left = len(probe) - int(np.searchsorted(probe, own[depth]))
-                if overlap + min(b - depth, left) < wants:
-                    break
-                step = own[depth : depth + 64]
-                at = np.minimum(np.searchsorted(probe, step), len(probe) - 1)
-                got = overlap + np.cumsum(probe[at] == step)
-                parts.append(got)
-                overlap, depth = int(got[-1]), depth + len(step)
-            sums, path = np.concatenate(parts), own[:depth]
-            if depth == b and overlap >= wants:
-                found.append(self.order[i])
-            elif depth < b:
-                # the subtree of the node where the walk ended: leaves that share the path up to here
-                below = self.common[i + 1 :] < depth
-                z = i + 1 + (int(below.argmax()) if below.any() else len(below))
-                reach = overlap + np.minimum(self.lengths[i + 1 : z] - depth, len(probe) - int(np.searchsorted(probe, path[-1], "right")) if depth else len(probe))
-                open_[i + 1 : z] &= reach >= need[i + 1 : z]
-            i += 1
-            if i < len(open_):
-                depth = min(depth, int(self.common[i]))
+        if not open_.any():
+            return []
+        some = np.flatnonzero(open_ & (self.lengths > self.common))
+        before = np.searchsorted(probe, self.elements[self.edges[self.starts[some]]])
+        reach = np.minimum(self.common[some], before) + np.minimum(self.lengths[some] - self.common[some], len(probe) - before)
+        open_[some] = reach >= need[some]
+        if not open_.any():
+            return []
+        held = np.zeros(len(self.elements), bool)
+        at = np.minimum(np.searchsorted(self.elements, probe), len(self.elements) - 1)
+        held[at[self.elements[at] == probe]] = True
+        sums = np.concatenate([np.zeros(1, "int64"), np.cumsum(held[self.edges], dtype="int64")])
+        base: list[int] = []
+        for p, up in zip(self.parent, (sums[self.leave] - sums[self.from_]).tolist(), strict=True):
+            base.append(base[p] + up if p >= 0 else 0)
+        overlap = np.array(base, "int64") + sums[self.ends] - sums[self.starts]
+        return [self.order[i] for i in np.flatnonzero(open_ & (overlap >= need)).tolist()]
 
 
 def trie_join(probe: np.ndarray, sets: list[np.ndarray], percent: int) -> np.ndarray:
@@ -428,13 +427,27 @@ def _stars(lists: DataFrame, reach: str) -> DataFrame:
 
 
 def _whole(lists: DataFrame) -> DataFrame:
-    """Groups of all sets of each list, dealt into blocks. The sets of its largest component are in one block each; the
-    others are in all blocks, as probes, so that any two of different components meet."""
-    parts = lists.groupBy("h", "c").agg(F.count("*").alias("k"), F.sum("n").alias("e"))
-    size = parts.groupBy("h").agg(F.max(F.struct("k", "c")).alias("most"), F.sum("e").alias("e")).select("h", F.col("most.c").alias("main"), _blocks(F.col("e")).alias("blocks"))
-    at = lists.select("h", "s", "c").join(size, "h")
-    block = F.when(F.col("c") == F.col("main"), F.array(_block(F.col("s"), F.col("blocks")))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
-    return at.select(F.col("h").alias("g"), F.explode(block).alias("block"), "s", "c", (F.col("c") != F.col("main")).alias("probe"))
+    """Groups of all sets of each list. The sets outside the list's largest component are its probes, and meet all its
+    sets, so that any two of different components meet.
+
+    Lists with the same largest component are one group, where that makes no more pairs of probe and set than the
+    lists do: copies of one text share most of their n-grams, and would meet again in each list. The sets of a group
+    are dealt into blocks, its probes too, and each block of the one meets each of the other."""
+    parts = lists.groupBy("h", "c").agg(F.count("*").alias("k"))
+    size = parts.groupBy("h").agg(F.max(F.struct("k", "c"))["c"].alias("main"), F.sum("k").alias("k"), F.max("k").alias("most"))
+    listed = stage(lists.select("h", "s", "c", "n").join(size.select("h", "main"), "h"), "listed")
+    apart = size.groupBy("main").agg(F.sum(F.col("k") * (F.col("k") - F.col("most"))).alias("pairs"))
+    probe = F.col("c") != F.col("main")
+    once = listed.groupBy("main", "s").agg(F.max(probe.cast("int")).alias("p"))
+    one = once.groupBy("main").agg((F.count("*") * F.sum("p")).alias("merged")).join(apart, "main").where("merged <= pairs").select(F.col("main"), F.lit(True).alias("one"))
+    at = listed.join(one, "main", "left").withColumn("g", F.when(F.col("one"), F.xxhash64("main", F.lit(7))).otherwise(F.col("h")))
+    at = stage(at.groupBy("g", "s", "c", "main").agg(F.max("n").alias("n")).withColumn("probe", probe), "whole")
+    unstage(listed)
+    blocks = at.groupBy("g").agg(_blocks(F.sum("n")).alias("across"), _blocks(F.sum(F.when(F.col("probe"), F.col("n")).otherwise(0))).alias("down"))
+    at = at.join(blocks, "g")
+    leaf = at.select("g", F.explode(F.sequence(F.lit(0), F.col("down") - 1)).alias("i"), _block(F.col("s"), F.col("across")).alias("j"), "across", "s", "c", F.lit(False).alias("probe"))
+    asks = at.where("probe").select("g", _block(F.col("s"), F.col("down")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("across") - 1)).alias("j"), "across", "s", "c", "probe")
+    return leaf.union(asks).select("g", (F.col("i") * F.col("across") + F.col("j")).alias("block"), "s", "c", "probe")
 
 
 def _apart(lists: DataFrame, comps: DataFrame) -> DataFrame:

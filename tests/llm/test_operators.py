@@ -227,6 +227,24 @@ def test_trie_join_is_exact():
         assert got.tolist() == [100 * len(set(s) & set(probe)) >= 75 * len(set(s) | set(probe)) for s in sets]
 
 
+def test_lists_of_one_family_are_one_group(spark, monkeypatch):
+    """40 lists of the same copies: each probe meets each set once, not once a list; small blocks lose no pair."""
+    rows = [(h, s, 100, 1 if s < 30 else s) for h in range(40) for s in range(36) if (h + s) % 9]
+    rows += [(90, s, 100, s) for s in (50, 51, 52)]
+    lists = spark.createDataFrame(rows, "h long, s long, n int, c long")
+    for trie in (100_000, 700):
+        monkeypatch.setattr(ngram_join, "TRIE", trie)
+        groups = defaultdict(list)
+        for r in ngram_join._whole(lists).collect():
+            groups[r["g"], r["block"]].append(r)
+        met = Counter((a, b) for g in groups.values() for a in {r["s"] for r in g if r["probe"]} for b in {r["s"] for r in g})
+        assert {(p, s) for p in range(30, 36) for s in range(36)} <= set(met)
+        assert {frozenset(x) for x in met} >= {frozenset(x) for x in ((50, 51), (50, 52), (51, 52))}
+        assert sum(met.values()) <= 40 * 36
+        if trie == 100_000:
+            assert sum(len(g) for g in groups.values()) <= 36 + 6 + 3 + 2
+
+
 def test_search_is_exact(spark, docs, empty):
     queries = [(1, "the0 of1 and2 that33 that33"), (2, "long7 unique"), (3, "nothingknown"), (4, None), (5, "x"), (6, corpus()[3][1])]
     q = spark.createDataFrame(queries, "query_id long, text string")
