@@ -291,6 +291,26 @@ def test_search_by_documents_is_exact(spark, docs, empty):
     assert search.top_documents_by_documents(empty, q).count() == 0
 
 
+def test_a_task_gives_the_best_of_all_its_shards():
+    """Not the k best of each: what moves does not grow with the shards of a task, and a known bound holds back more."""
+    rng = random.Random(8)
+    docs = [(i, " ".join(rng.choice(WORDS) for _ in range(30)).encode()) for i in range(90)]
+    block = search._Block(docs[:7])
+    block.idf = np.ones(len(block.terms))
+    shards = []
+    for a in range(0, 90, 15):
+        h, counts = common.WordHasher()([t for _, t in docs[a : a + 15]])
+        pairs = sorted(Counter(zip(np.repeat(np.arange(15), counts).tolist(), h.tolist())).items())
+        parts = [(np.array([x[1] for x, _ in pairs], "<u8"), np.array([c for _, c in pairs], "<u4"), np.array([x[0] for x, _ in pairs], "<u4"))]
+        shards += search._whole(a, [i for i, _ in docs[a : a + 15]], counts.tolist(), parts)
+    every = sorted((int(q), -float(s), int(i)) for x in shards for q, i, s in zip(*search._best(iter([x]), block, 15, 30.0)))
+    want = [x for q in range(7) for x in [y for y in every if y[0] == q][:4]]
+    got = [(int(q), -float(s), int(i)) for q, i, s in zip(*search._best(iter(shards), block, 4, 30.0))]
+    assert len(every) == 7 * 90 and got == want
+    block.least = np.array([-want[4 * q + 1][1] for q in range(7)])
+    assert {int(i) for i in search._best(iter(shards[1:]), block, 4, 30.0)[1]} <= {x[2] for x in want}
+
+
 @pytest.mark.skipif(not Path(SMALL).exists(), reason="no test data")
 def test_op4_takes_every_twentieth_document(spark):
     from lumen.llm.queries import ORACLES, QUERIES
