@@ -98,6 +98,21 @@ def test_components(spark):
     assert got == {x: top(x) for e in links for x in e if e[0] != e[1] or x in got}
 
 
+def test_components_of_few_links_take_few_stages(spark, monkeypatch):
+    """The driver holds what each round's shuffles leave: a chain of 200 links needs no rounds, and more links than FEW give the same."""
+    chain = spark.createDataFrame([(k * 37 % 201, (k + 1) * 37 % 201) for k in range(200)] + [(500, 500), (502, 501), (501, 502)], "a long, b long")
+    spark.sparkContext.setJobGroup("few", "")
+    got = sorted(map(tuple, common.components(chain).collect()))
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("few"))
+    spark.sparkContext._jsc.clearJobGroup()
+    assert got == [(k, 0) for k in range(201)] + [(501, 501), (502, 501)] and jobs <= 8
+    monkeypatch.setattr(common, "FEW", 100)
+    assert sorted(map(tuple, common.components(chain).collect())) == got
+    assert common.components(chain.limit(0)).count() == 0
+    monkeypatch.setattr(common, "FEW", 1 << 18)
+    assert common.components(chain.limit(0)).count() == 0
+
+
 def test_line_dedup(spark, empty):
     rows = [(i, f"own {i}\nboiler\n  boiler \n\nrare {i % 9}", "x", "hot" if i % 2 else None, 0, 0.0, 0) for i in range(40)] + [(99, None, "x", "hot", 0, 0.0, 0), (98, "", "x", "hot", 0, 0.0, 0), (97, "boiler\nb", "x", "small", 0, 0.0, 0)]
     out = {r["doc_id"]: r["text"] for r in lines.drop_boilerplate_lines(spark.createDataFrame(rows, SCHEMA), ratio=0.5).collect()}
