@@ -306,6 +306,19 @@ def test_search_by_documents_is_exact(spark, docs, empty):
     assert search.top_documents_by_documents(empty, q).count() == 0
 
 
+def test_terms_are_counted_once_for_all_blocks(spark, docs, monkeypatch):
+    """Not again for each block of queries: that made shuffles grow with blocks times documents."""
+    staged = []
+    monkeypatch.setattr(search, "stage", lambda df, name: staged.append((name, df.columns)) or common.stage(df, name))
+    shuffled = []
+    group = type(docs).groupBy
+    monkeypatch.setattr(type(docs), "groupBy", lambda df, *by: shuffled.append(by) or group(df, *by))
+    q = docs.where("doc_id % 4 = 0").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("query_id"), "text")
+    found = search.top_documents_by_documents(docs, q, k=7, block=3)
+    assert found.count() > 0 and sum(name == "found" for name, _ in staged) > 2
+    assert [x for x in staged if x[0] == "counts"] == [("counts", ["term", "df"])] and not any(x == ("term",) for x in shuffled)
+
+
 def test_a_task_gives_the_best_of_all_its_shards():
     """Not the k best of each: what moves does not grow with the shards of a task, and a known bound holds back more."""
     rng = random.Random(8)
