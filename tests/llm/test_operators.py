@@ -339,6 +339,30 @@ def test_a_task_gives_the_best_of_all_its_shards():
     assert {int(i) for i in search._best(iter(shards[1:]), block, 4, 30.0)[1]} <= {x[2] for x in want}
 
 
+def test_like_queries_share_a_batch(monkeypatch):
+    """Queries of one language come together, so a batch's matrix has its terms only; which terms are in it changes no result."""
+    rng = random.Random(9)
+    docs = [(i, " ".join(f"{'ab'[i % 2]}{int(rng.paretovariate(0.7)) % 200}" for _ in range(60)).encode()) for i in range(80)]
+    block = search._Block(docs[:40])
+    block.idf = np.random.default_rng(9).random(len(block.terms)) + 0.1
+    assert sorted(block.ids.tolist()) == list(range(40))
+    kind = block.ids % 2
+    assert (kind[1:] != kind[:-1]).sum() < 16  # 39, as they come
+    h, counts = common.WordHasher()([t for _, t in docs])
+    bags = np.split(h, np.cumsum(counts)[:-1])
+    idf = dict(zip(block.terms.tolist(), block.idf.tolist()))
+    pairs = sorted(((int(w), d), int(n)) for d, b in enumerate(bags) for w, n in zip(*np.unique(b, return_counts=True)))
+    parts = [(np.array([w for (w, _), _ in pairs], "<u8"), np.array([n for _, n in pairs], "<u4"), np.array([d for (_, d), _ in pairs], "<u4"))]
+    (shard,) = search._whole(0, [i for i, _ in docs], counts.tolist(), parts)
+    tf = {d: Counter(b.tolist()) for d, b in enumerate(bags)}
+    want = {(q, d): sum(c * idf[w] * search._impact(tf[d][w], 60, 50.0) for w, c in tf[q].items() if tf[d][w]) for q in range(40) for d in range(80)}
+    want = {x: s for x, s in want.items() if s}
+    for cells, batch in ((0, 256), (250, 256), (20, 7), (1 << 40, 256)):
+        monkeypatch.setattr(search, "CELLS", cells)
+        got = {(int(block.ids[q]), int(d)): float(s) for found in search._best_of_shard(shard, block, block.least, 80, 50.0, batch) for q, d, s in zip(*found)}
+        assert got.keys() == want.keys() and all(abs(got[x] - s) < 2e-6 for x, s in want.items())
+
+
 @pytest.mark.skipif(not Path(SMALL).exists(), reason="no test data")
 def test_op4_takes_every_twentieth_document(spark):
     from lumen.llm.queries import ORACLES, QUERIES
