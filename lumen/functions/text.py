@@ -124,18 +124,23 @@ def mixed_words(text: Column) -> Column:
     return F.when(text.rlike(f"[{other}]"), words).otherwise(F.array().cast("array<string>"))
 
 
-def base64_texts(text: Column, most: int = 20) -> Column:
-    """Readable texts that Base64 runs of 40 and more characters decode to, of the first `most` runs; null elsewhere."""
-    found = F.slice(extract(text, r"(?<![A-Za-z0-9+/=])[A-Za-z0-9+/]{40,}+={0,2}(?![A-Za-z0-9+/=])"), 1, most)
-
-    def read(run: Column) -> Column:
-        bare = F.regexp_replace(run, "=+$", "")
-        size = F.length(bare)
-        padded = F.rpad(bare, size + F.pmod(-size, F.lit(4)), F.lit("="))
-        got = _utf8(F.try_to_binary(padded, F.lit("base64")))
-        return F.when((F.pmod(size, F.lit(4)) != 1) & (F.length(got) >= 12) & (printable_share(got, r"\r\n\t") > 0.95), got)
-
-    return F.transform(found, read)
+def base64_runs(text: Column) -> Column:
+    """All Base64 runs of 40 and more characters, with their padding."""
+    return extract(text, r"(?<![A-Za-z0-9+/=])[A-Za-z0-9+/]{40,}+={0,2}(?![A-Za-z0-9+/=])")
+
+
+def base64_text(run: Column) -> Column:
+    """Readable text that a Base64 run decodes to, padded or not; null if there is none."""
+    bare = F.regexp_replace(run, "=+$", "")
+    size = F.length(bare)
+    padded = F.rpad(bare, size + F.pmod(-size, F.lit(4)), F.lit("="))
+    got = _utf8(F.try_to_binary(padded, F.lit("base64")))
+    return F.when((F.pmod(size, F.lit(4)) != 1) & (F.length(got) >= 12) & (printable_share(got, r"\r\n\t") > 0.95), got)
+
+
+def base64_texts(text: Column) -> Column:
+    """What base64_text() reads in each of the base64_runs()."""
+    return F.transform(base64_runs(text), base64_text)
 
 
 def java(pattern: str) -> str:

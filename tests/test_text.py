@@ -98,3 +98,11 @@ def test_reachability_in_a_cycle(spark):
     start = spark.createDataFrame([(1, 1), (2, 1)], "k int, node long")
     got = {tuple(r) for r in sequences.reachable(edges, start, ["k"]).collect()}
     assert got == {(1, 1), (1, 2), (1, 3), (2, 1), (2, 8)}
+
+
+def test_all_base64_runs_are_read(spark):
+    said = [f"{ORDER} {k:02d}" for k in range(30)]
+    body = " ".join(base64.b64encode(s.encode()).decode() for s in said)
+    df = spark.createDataFrame([("a", body)], "id string, text string")
+    found = scan_text(df, F.col("id"), F.col("text")).where("category = 'Encoded text (Base64)'").collect()
+    assert {r["snippet"] for r in found} == {f"Decoded: {s}" for s in said}
