@@ -124,3 +124,19 @@ def test_base64_decoded_matches_its_sql(spark, tmp_path):
     got = [tuple(r) for r in e.queries()["base64_decoded"](spark, str(tmp_path)).collect()]
     want = con.execute(e.oracle_sql()["base64_decoded"]).fetchall()
     assert sorted(got) == sorted(want) and sum(i == 1 for i, _ in got) == 50
+
+
+def test_pages_are_parsed_by_slices(spark):
+    import pyarrow as pa
+
+    from lumen.sources import html as source
+
+    pages = ["<p>" + "é" * 600_000, None, "", *["<p>x</p>" * 2_000 + "z" * 140_000] * 20, *["<b>y"] * 2000]
+    batch = pa.RecordBatch.from_pydict({"id": list(range(len(pages))), "html": pages})
+    parts = list(source.slices(batch, 1))
+    assert [i for p in parts for i in p.column(0).to_pylist()] == list(range(len(pages)))
+    held = [sum(len((t or "").encode()) for t in p.column(1).to_pylist()) for p in parts]
+    assert all(p.num_rows == 1 or (n <= source.SLICE and p.num_rows <= source.SLICE_ROWS) for p, n in zip(parts, held, strict=True)) and len(parts) < 20
+    df = spark.createDataFrame(list(enumerate(pages)), "id long, html string").coalesce(1)
+    got = read_html(df, F.col("id"), F.col("html")).select("artifact_id", F.length("visible").alias("n")).collect()
+    assert [int(r["artifact_id"]) for r in got] == list(range(len(pages))) and got[-1]["n"] == 1 and got[1]["n"] == 0
