@@ -58,9 +58,11 @@ def _hex(c: Column, width: int) -> Column:
 
 
 def visible(text: Column) -> Column:
-    """Text with invisible and control characters written as ⟨U+…⟩ and ⟨0x…⟩."""
-    shown = lambda c: F.when(c.rlike(f"^[{TAGS}{SELECTORS}{ZERO}{BIDI}]"), F.concat(F.lit("⟨U+"), _hex(c, 4), F.lit("⟩"))).when(c.rlike("^[\\x00-\\x08\\x0B-\\x1F]"), F.concat(F.lit("⟨0x"), _hex(c, 2), F.lit("⟩"))).otherwise(c)
-    return F.when(text.rlike(f"[{TAGS}{SELECTORS}{ZERO}{BIDI}\\x00-\\x08\\x0B-\\x1F]"), F.array_join(F.transform(F.split(text, ""), shown), "")).otherwise(text)
+    """Text with invisible and control characters written as ⟨U+…⟩ and ⟨0x…⟩. What stands between two of them stays in one piece."""
+    marks, codes = f"{TAGS}{SELECTORS}{ZERO}{BIDI}", r"\x00-\x08\x0B-\x1F"
+    shown = lambda c: F.when(F.length(c) > 1, c).when(c.rlike(f"[{marks}]"), F.concat(F.lit("⟨U+"), _hex(c, 4), F.lit("⟩"))).when(c.rlike(f"[{codes}]"), F.concat(F.lit("⟨0x"), _hex(c, 2), F.lit("⟩"))).otherwise(c)
+    pieces = extract(text, f"[\\x20-\\x7F\\x09\\x0A\\xC0-\\xFF[^{marks}{codes}]]++|[{marks}{codes}]")  # ASCII first: Java goes through all ranges of a class in turn
+    return F.array_join(F.transform(pieces, shown), "")
 
 
 def decoded_tags(text: Column) -> Column:

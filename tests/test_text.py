@@ -140,3 +140,10 @@ def test_pages_are_parsed_by_slices(spark):
     df = spark.createDataFrame(list(enumerate(pages)), "id long, html string").coalesce(1)
     got = read_html(df, F.col("id"), F.col("html")).select("artifact_id", F.length("visible").alias("n")).collect()
     assert [int(r["artifact_id"]) for r in got] == list(range(len(pages))) and got[-1]["n"] == 1 and got[1]["n"] == 0
+
+
+def test_visible_keeps_plain_stretches_whole(spark):
+    texts = ["plain", "", "a​b", "​" * 3, "é\x01\n\tü‮ß中\U0001f600\U000e0041", "\r\x1f", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(text.X.visible(F.col("t")).alias("v"))
+    assert [r["v"] for r in df.collect()] == ["plain", "", "a⟨U+200B⟩b", "⟨U+200B⟩" * 3, "é⟨0x01⟩\n\tü⟨U+202E⟩ß中\U0001f600⟨U+E0041⟩", "⟨0x0D⟩⟨0x1F⟩", None]
+    assert "split(" not in df._jdf.queryExecution().optimizedPlan().toString()  # one string a character, before
