@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column
+import unicodedata
+from functools import reduce
+from operator import and_, or_
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,6 +37,11 @@ PRIVATE = r"\x{E000}-\x{F8FF}\x{F0000}-\x{10FFFF}"
 SPECIAL = f"[{TAGS}{SELECTORS}{ZERO}{BIDI}{CONTROL}{PRIVATE}]"
 INVISIBLE = f"[{ZERO}{BIDI}\\x{{E0000}}-\\x{{E01EF}}\\x{{FE00}}-\\x{{FE0F}}]"
 WORD_CHAR = r"[\p{L}\p{N}_]"
+#: Characters beyond ASCII, of Latin scripts and their punctuation, that no detector counts and folding leaves as they are.
+COMMON = char_class(c for c in [*range(0xA1, 0x250), *range(0x2010, 0x2028), *range(0x2030, 0x205F), *range(0x20A0, 0x20C0)] if unicodedata.is_normalized("NFKC", chr(c)) and not unicodedata.combining(chr(c)) and c not in rules.ZERO_WIDTH and c not in rules.BIDI)
+#: What is neither that nor plain ASCII: a text without it has no special character, one script, and nothing to fold but spaced letters.
+#: The inner class is tried last: Java goes through all ranges of a class in turn, and most characters are in the first.
+ODD = f"[^\\x20-\\x7F\\x09-\\x0D\\xC0-\\xFF[{COMMON}]]"
 
 
 def count(text: Column, inside: str) -> Column:
@@ -61,7 +70,7 @@ def visible(text: Column) -> Column:
     """Text with invisible and control characters written as ⟨U+…⟩ and ⟨0x…⟩. What stands between two of them stays in one piece."""
     marks, codes = f"{TAGS}{SELECTORS}{ZERO}{BIDI}", r"\x00-\x08\x0B-\x1F"
     shown = lambda c: F.when(F.length(c) > 1, c).when(c.rlike(f"[{marks}]"), F.concat(F.lit("⟨U+"), _hex(c, 4), F.lit("⟩"))).when(c.rlike(f"[{codes}]"), F.concat(F.lit("⟨0x"), _hex(c, 2), F.lit("⟩"))).otherwise(c)
-    pieces = extract(text, f"[\\x20-\\x7F\\x09\\x0A\\xC0-\\xFF[^{marks}{codes}]]++|[{marks}{codes}]")  # ASCII first: Java goes through all ranges of a class in turn
+    pieces = extract(text, f"[\\x20-\\x7F\\x09\\x0A\\xC0-\\xFF[^{marks}{codes}]]++|[{marks}{codes}]")  # ASCII first, as in ODD
     return F.array_join(F.transform(pieces, shown), "")
 
 
@@ -163,40 +172,79 @@ def context(text: Column, pattern: str, before: int = 80, after: int = 120) -> C
 _STEMS = "(?i)" + rules.INJECTION_STEMS.replace("s", "[sſ]").replace("k", "[k\u212a]")
 
 
-def hits(text: Column, patterns=rules.INJECTION) -> Column:
-    """(description, context) of each pattern that matches, in the order of the patterns."""
-    each = F.array_compact(F.array(*[F.when(text.rlike(java(p)), F.struct(F.lit(d).alias("what"), context(text, p).alias("around"))) for p, d in patterns]))
-    if patterns is not rules.INJECTION:
-        return each
-    return F.when(text.rlike(_STEMS), each).otherwise(F.array().cast("array<struct<what:string,around:string>>"))
+def once(df: DataFrame, **values: Column) -> DataFrame:
+    """df with more columns, each computed once a row: explode() of a one-element array makes a plain column of it, that
+    filters and projections above read and do not compute again."""
+    for name, value in values.items():
+        df = df.select(*df.columns, F.explode(F.array(value)).alias(name))
+    return df
+
+
+def lowered(text: Column) -> Column:
+    """Text in lower case, with a plain letter for each that patterns take for one: what INJECTION_NEEDS is looked for in."""
+    low = F.lower(text)
+    for c, plain in (("ſ", "s"), ("ı", "i"), ("i\u0307", "i")):
+        low = F.replace(low, F.lit(c), F.lit(plain))
+    return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(low)
+
+
+def matches(text: Column, low: Column, k: int) -> Column:
+    """Whether pattern k of INJECTION matches; low is lowered(text)."""
+    needs = [reduce(or_, [F.contains(low, F.lit(w)) for w in words]) for words in rules.INJECTION_NEEDS[k]]
+    return reduce(and_, needs) & text.rlike(java(rules.INJECTION[k][0]))
+
+
+def hits(text: Column, low: Column) -> Column:
+    """(description, context) of each pattern of INJECTION that matches, in their order; low is lowered(text)."""
+    each = F.array_compact(F.array(*[F.when(matches(text, low, k), F.struct(F.lit(d).alias("what"), context(text, p).alias("around"))) for k, (p, d) in enumerate(rules.INJECTION)]))
+    dotless = F.contains(text, F.lit("ı")) | F.contains(text, F.lit("İ"))  # these patterns take them for an i, the stems do not
+    return F.when(~dotless | text.rlike(_STEMS), each).otherwise(F.array().cast("array<struct<what:string,around:string>>"))
 
 
 #: A word of letters set apart by single marks; a longer run that may spell a phrase. Possessive, so no input is too deep.
 _SPACED = r"(?<!\w)(?:\w[ .\-_·*]){3,}+\w(?!\w)|(?<!\w)\w(?:[\s.\-_·*]{1,3}+\w(?!\w)){7,}+"
 
 
-def may_be_disguised(text: Column) -> Column:
-    """False for texts that folding leaves as they are: ASCII without letter spacing."""
-    return text.rlike(r"[^\x00-\x7F]") | text.rlike(_SPACED)
+#: What such letters need, in ASCII and in a text of COMMON characters: found faster.
+_NEAR = r"[\s.\-_*]\w[\s.\-_*]{1,3}\w[\s.\-_*]"
+_APART = r"[\s\x1C-\x1F.\-_·*]" + WORD_CHAR + r"[\s\x1C-\x1F.\-_·*]{1,3}" + WORD_CHAR + r"[\s\x1C-\x1F.\-_·*]"
+
+
+def may_be_disguised(text: Column, odd: Column) -> Column:
+    """False for texts that folding leaves as they are: no letter spacing, and nothing ODD beyond ASCII; odd is whether
+    the text has a character that is ODD."""
+    ascii = F.length(text) == F.octet_length(text)
+    return F.when(ascii, text.rlike(_NEAR) & text.rlike(_SPACED)).otherwise(odd | text.rlike(_APART))
+
+
+#: Bytes of text that are folded at once.
+SLICE = 1 << 20
 
 
-@F.pandas_udf(T.StructType([T.StructField("folded", T.StringType()), T.StructField("phrase", T.StringType())]))
-def fold(texts: pd.Series) -> pd.DataFrame:
-    """Text as a model reads it: invisibles gone, compatibility and look-alike letters made plain, spaced letters
-    joined; and the first listed phrase that a letter-spaced run spells. NFKC has no built-in function."""
+@F.arrow_udf(T.StructType([T.StructField("folded", T.StringType()), T.StructField("phrase", T.StringType())]))
+def fold(texts: pa.Array) -> pa.Array:
+    """Text as a model reads it: invisibles gone, compatibility and look-alike letters made plain, spaced letters joined,
+    or null if that is the text itself; and the first listed phrase that a letter-spaced run spells. NFKC has no built-in
+    function."""
     import re
-    import unicodedata
 
     gone = re.compile("[%s]" % "".join(map(re.escape, [*map(chr, rules.ZERO_WIDTH), *map(chr, rules.BIDI)])) + "|[\U000e0000-\U000e01ef︀-️]")
     plain = str.maketrans(rules.CONFUSABLE_FROM, rules.CONFUSABLE_TO)
     mark = r"[ .\-_·*]"
     word, run = re.compile(rf"(?<!\w)(?:\w{mark}){{3,}}\w(?!\w)"), re.compile(r"(?<!\w)\w(?:[\s.\-_·*]{1,3}\w(?!\w)){7,}")
-    rows = []
-    for text in texts:
+    kind = pa.struct([("folded", pa.string()), ("phrase", pa.string())])
+    rows, held, done = [], 0, []
+    for value in texts:
+        text = value.as_py()
         if text is None:
-            rows.append((None, None))
-            continue
-        text = unicodedata.normalize("NFKC", gone.sub("", text)).translate(plain)
-        spelled = (p for r in run.findall(text) for p in rules.SQUASHED if p in re.sub(r"[\W_]", "", r).lower())
-        rows.append((word.sub(lambda m: re.sub(mark, "", m.group()), text), next(spelled, None)))
-    return pd.DataFrame(rows, columns=["folded", "phrase"])
+            rows.append({"folded": None, "phrase": None})
+        else:
+            made = unicodedata.normalize("NFKC", gone.sub("", text)).translate(plain)
+            spelled = (p for r in run.findall(made) for p in rules.SQUASHED if p in re.sub(r"[\W_]", "", r).lower())
+            joined = word.sub(lambda m: re.sub(mark, "", m.group()), made)
+            rows.append({"folded": None if joined == text else joined, "phrase": next(spelled, None)})
+            held += len(text)
+        if held >= SLICE:  # strings and their folded copies are held for a slice only, as Arrow for the others
+            done.append(pa.array(rows, kind))
+            rows, held = [], 0
+    return pa.concat_arrays([*done, pa.array(rows, kind)])
